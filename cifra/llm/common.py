@@ -102,7 +102,8 @@ class Grouped:
         with_group = known.withColumn("g", group_of(F.col("doc_id"), sorted(set(bounds or []))))
         self.frame = with_group.select("g", "doc_id", "data")
         keys = with_group.select("g", "doc_id", F.sha2("data", 256).alias("content"))
-        firsts = keys.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+        # Settled, so that the join deals out both sides itself and can split a content that very many documents have.
+        firsts = settled(keys.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"))
         self.copies = settled(keys.join(firsts, "content").filter("doc_id > first").select("g", F.lit("copy").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("binary").alias("payload")))
 
 
