@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ TEN_TO_UNIT = {"пятьдесят": "пять", "шестьдесят": "шес
 MENDED = {"пятдесят": "пятьдесят", "шестдесят": "шестьдесят", "семдесят": "семьдесят", "восемдесят": "восемьдесят", "тристо": "триста", "четыриста": "четыреста"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body, or a lambda in it, refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     return c.isNull() | (F.regexp_replace(c, SPACE, "") == "")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cifra.functions.lexicon import MULTIPLIER, ORDINAL
+from cifra.functions.text import let
 
 STATE = "struct<open:boolean,compound:bigint,now:bigint,last:int,last_mult:int,out:array<string>>"
 
@@ -17,7 +18,7 @@ def rewritten(items: Column, sequence: bool) -> Column:
     begins no group, though it may go on in one. A group's parts add while magnitudes fall, multiply at a multiplier,
     and begin a new total when a magnitude comes again or the next part belongs elsewhere.
     """
-    joined = F.transform(items, lambda x, i: F.struct(x.alias("x"), F.get(items, i + 1).alias("next")))
+    joined = let(items, lambda all_of: F.transform(all_of, lambda x, i: F.struct(x.alias("x"), F.get(all_of, i + 1).alias("next"))))
 
     def state(open_: Column, compound: Column, now: Column, last: Column, last_mult: Column, out: Column) -> Column:
         return F.struct(open_, compound, now, last, last_mult, out).cast(STATE)

@@ -41,12 +41,16 @@ def is_vague(tokens: Column, i: Column, sequence: bool) -> Column:
 
 def classified(tokens: Column, sequence: bool) -> Column:
     """array<struct<raw, parts>>: each token with the parts of a number it stands for; empty for other words."""
+    return text.let(tokens, lambda t: _classified(t, sequence))
+
+
+def _classified(tokens: Column, sequence: bool) -> Column:
     none = F.array().cast(lexicon.PARTS)
     known = F.transform(tokens, lambda t, i: F.struct(t.alias("raw"), lexicon.lookup(F.lower(t)).alias("e"), is_vague(tokens, i, sequence).alias("vague"), F.lower(t).alias("low")))
 
     def fused(low: Column) -> Column:
         pattern = lexicon.fused_pattern()
-        first = F.transform(F.array(lexicon.root_lookup(F.regexp_extract(low, pattern, 1))), lambda p: p)
+        first = F.array(lexicon.root_lookup(F.regexp_extract(low, pattern, 1)))
         value, magnitude = lexicon.multiplier_of(F.regexp_extract(low, pattern, 2))
         head = F.transform(first, lambda p: F.struct(p["v"].alias("v"), p["m"].alias("m"), F.lit(lexicon.CARDINAL).alias("k")).cast("struct<v:bigint,m:int,k:int>"))
         tail = F.array(F.struct(value.alias("v"), magnitude.alias("m"), F.lit(lexicon.MULTIPLIER).alias("k")).cast("struct<v:bigint,m:int,k:int>"))
@@ -70,18 +74,21 @@ def normalize(c: Column, mode: str = "current") -> Column:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     sequence = mode == "sequence"
-    mended = text.mended(c)
-    words = text.tokens(mended)
-    held = F.array().cast("array<string>") if sequence else doubtful(mended)
+    word_type = "struct<raw:string,v:bigint,m:int,k:int,num:boolean,held:boolean>"
 
-    def items(x: Column) -> Column:
-        word = F.array(F.struct(x["raw"].alias("raw"), F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("int").alias("k"), F.lit(False).alias("num"), F.lit(False).alias("held")))
+    def items(x: Column, held: Column) -> Column:
+        null = F.lit(None)
+        word = F.array(F.struct(x["raw"].alias("raw"), null.alias("v"), null.alias("m"), null.alias("k"), F.lit(False).alias("num"), F.lit(False).alias("held")).cast(word_type))
         kept = F.array_contains(held, F.lower(x["raw"]))
-        numbers = F.transform(x["parts"], lambda p: F.struct(x["raw"].alias("raw"), p["v"].alias("v"), p["m"].alias("m"), p["k"].alias("k"), F.lit(True).alias("num"), kept.alias("held")))
+        numbers = F.transform(x["parts"], lambda p: F.struct(x["raw"].alias("raw"), p["v"].alias("v"), p["m"].alias("m"), p["k"].alias("k"), F.lit(True).alias("num"), kept.alias("held")).cast(word_type))
         return F.when(F.size(x["parts"]) > 0, numbers).otherwise(word)
 
-    flat = F.flatten(F.transform(classified(words, sequence), items))
-    return F.when(text.blank(c), c).otherwise(F.array_join(rewritten(flat, sequence), " "))
+    def answer(mended: Column) -> Column:
+        held = F.array().cast("array<string>") if sequence else doubtful(mended)
+        flat = text.let(held, lambda h: F.flatten(F.transform(classified(text.tokens(mended), sequence), lambda x: items(x, h))))
+        return F.array_join(rewritten(flat, sequence), " ")
+
+    return F.when(text.blank(c), c).otherwise(text.let(text.mended(c), answer))
 
 
 # What lowers the confidence in a result.
@@ -97,26 +104,28 @@ PLAIN_WORDS = (
 
 def confidence(c: Column, predicted: Column) -> Column:
     """0.1 to 1: what is left of 1 after the signs that a result may be wrong."""
-    said, got = text.tokens(F.lower(c)), text.tokens(F.lower(predicted))
-    numbers = F.transform(text.digit_runs(predicted), lambda x: x.cast("decimal(38,0)"))
-    jump = F.exists(F.transform(numbers, lambda x, i: (x <= 300) & (F.get(numbers, i + 1) >= 1000)), lambda x: F.coalesce(x, F.lit(False)))
+    return text.let(F.struct(text.tokens(F.lower(c)).alias("said"), text.tokens(F.lower(predicted)).alias("got"), text.digit_runs(predicted).alias("numbers")), _confidence)
+
+
+def _confidence(x: Column) -> Column:
+    said, got = x["said"], x["got"]
+    numbers = F.transform(x["numbers"], lambda n: n.cast("decimal(38,0)"))
+    jump = text.let(numbers, lambda all_of: F.exists(F.transform(all_of, lambda n, i: (n <= 300) & (F.get(all_of, i + 1) >= 1000)), lambda y: F.coalesce(y, F.lit(False))))
     stripped = F.transform(got, lambda w: F.translate(F.regexp_replace(w, '^[.,!?;:()\\[\\]{}«»"]+|[.,!?;:()\\[\\]{}«»"]+$', ""), "ё", "е"))
     ordinal = F.size(F.filter(stripped, lambda w: ~w.isin(*PLAIN_WORDS) & F.regexp_like(w, F.lit(f"({'|'.join(ORDINAL_TAILS)})$")) & F.regexp_like(w, F.lit("|".join(ORDINAL_ROOTS)))))
-    long_head = F.lit(False)
-    head = lambda w: F.greatest(*[F.when(F.startswith(w, F.lit(h)) & (F.char_length(w) > len(h) + 3), 1).otherwise(0) for h in NUMBER_HEADS])
-    fused = F.size(F.filter(said, lambda w: F.contains(w, F.lit("тысяч")) & ((head(w) > 0) | long_head)))
-    pair = F.exists(F.transform(said, lambda w, i: (w == "два") & (F.get(said, i + 1) == "два")), lambda x: F.coalesce(x, F.lit(False)))
-    flag = lambda x: F.when(x, 3).otherwise(0)
+    headed = "|".join(f"{h}.{{4,}}" for h in NUMBER_HEADS)
+    fused = F.size(F.filter(said, lambda w: F.contains(w, F.lit("тысяч")) & F.regexp_like(w, F.lit(f"^(?:{headed})"))))
+    pair = F.exists(F.transform(said, lambda w, i: (w == "два") & (F.get(said, i + 1) == "два")), lambda y: F.coalesce(y, F.lit(False)))
+    flag = lambda y: F.when(y, 3).otherwise(0)
     tenths = 10 - F.when(F.arrays_overlap(said, F.array(F.lit("тыщ"), F.lit("тыща"))), 4).otherwise(0) - flag(F.array_contains(said, "двеси") & jump) - 3 * ordinal - flag(F.arrays_overlap(got, F.array(F.lit("тысячам"), F.lit("тысячами")))) - 3 * fused - flag(pair)
     return F.round(F.greatest(F.lit(1), F.least(F.lit(10), tenths)) / 10, 1)
 
 
 def hybrid(c: Column, fallback: Column | None = None, least: float = 0.75) -> Column:
     """The current mode's result, or, where confidence in it is below `least`, a given fallback that differs from the text."""
-    rule = normalize(c, "current")
     if fallback is None:
-        return rule
-    return F.when((confidence(c, rule) < least) & fallback.isNotNull() & (fallback != c), fallback).otherwise(rule)
+        return normalize(c, "current")
+    return text.let(normalize(c, "current"), lambda rule: F.when((confidence(c, rule) < least) & fallback.isNotNull() & (fallback != c), fallback).otherwise(rule))
 
 
 def normalizer(parser_type: str = "current", use_hybrid: bool = False, fallback: Column | None = None):
