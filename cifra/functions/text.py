@@ -55,12 +55,16 @@ def mended(c: Column) -> Column:
     return c
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+
+
 def sentences_by_stops(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[.!?]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, "[.!?]+"), lambda s: stripped(s)), lambda s: s != "")
 
 
 def sentences_after_stops(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "(?U)(?<=[.!?])\\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, "(?U)(?<=[.!?])\\s+"), lambda s: stripped(s)), lambda s: s != "")
 
 
 def has_number(c: Column, least: int, most: int | None = None) -> Column:
