@@ -11,6 +11,7 @@ lookup, and html is never read.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -81,8 +82,9 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    rows = [(i, r.name, r.verdict, r.pattern, list(dict.fromkeys(r.tokens))) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule_no int, rule string, verdict string, pattern string, tokens array<string>")
+    rows = [{"rule_no": i, "rule": r.name, "verdict": r.verdict, "pattern": r.pattern, "tokens": list(dict.fromkeys(r.tokens))} for i, r in enumerate(rules)]
+    fields = "array<struct<rule_no:int,rule:string,verdict:string,pattern:string,tokens:array<string>>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), fields)))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, patterns: tuple[Rule, ...] = PATTERNS, otherwise: str = "allow") -> DataFrame:
