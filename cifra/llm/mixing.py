@@ -4,7 +4,7 @@ A source's target is its share of all sizes, by weight; no source gives more tha
 it can't give is shared out again by weight. Of a source, whole passes over all documents come first. For the remaining
 budget the documents are counted by exact length. Each length gives its proportional number of documents, rounded down,
 and what is then missing is filled exactly, or as nearly as the lengths allow, by bounded-knapsack dynamic programming
-over the documents left. Which documents of a length are taken follows from a seeded hash of their ids.
+over the documents left, and over further passes of them where these don't suffice. Which documents of a length are taken follows from a seeded hash of their ids.
 
 Only counts by source and length are brought together, one row a length. The choice within a length is a rank, counted
 in slices of the hash, so that no length that very many documents have is sorted in one task.
@@ -71,26 +71,26 @@ def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Of each length (ascending) how many of its documents to take so that the sizes add up to about budget."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, again: int = 0) -> np.ndarray:
+    """Of each length how many documents to take so that the sizes add up to about budget. Only where that can't be
+    filled otherwise, documents are taken a second time or more, up to `again` times."""
     total = int((lengths * counts).sum())
     if not total or budget <= 0:
         return np.zeros(len(lengths), "<i8")
-    if budget >= total:
-        return counts.copy()
-    taken = (counts.astype(object) * budget // total).astype("<i8")
-    rest = budget - int((lengths * taken).sum())
-    for i in np.argsort(-lengths, kind="stable"):
+    sizes, left = np.r_[lengths, lengths], np.r_[counts, counts * again]
+    taken = np.r_[(counts.astype(object) * budget // total).astype("<i8"), np.zeros(len(counts), "<i8")]
+    rest = budget - int((sizes * taken).sum())
+    for i in np.lexsort((-sizes, np.arange(len(sizes)) >= len(lengths))):
         if rest <= EXACT:
             break
-        more = min(int(counts[i] - taken[i]), (rest - EXACT // 2) // max(1, int(lengths[i])))
+        more = min(int(left[i] - taken[i]), (rest - EXACT // 2) // max(1, int(sizes[i])))
         if more > 0:
             taken[i] += more
-            rest -= more * int(lengths[i])
-    small = np.flatnonzero((lengths > 0) & (lengths <= rest) & (counts > taken))
+            rest -= more * int(sizes[i])
+    small = np.flatnonzero((sizes > 0) & (sizes <= rest) & (left > taken))
     if rest and len(small):
-        taken[small] += knapsack(lengths[small], counts[small] - taken[small], rest)
-    return taken
+        taken[small] += knapsack(sizes[small], left[small] - taken[small], rest)
+    return taken[: len(lengths)] + taken[len(lengths) :]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
         own, aim = int(pdf["source_size"].iloc[0]), pdf["target"].iloc[0]
         passes = min(int(aim // own), most) if own else 0
-        more = fit(pdf["size"].to_numpy("<i8"), pdf["count"].to_numpy("<i8"), int(round(aim)) - passes * own if passes < most else 0)
+        more = fit(pdf["size"].to_numpy("<i8"), pdf["count"].to_numpy("<i8"), int(round(aim)) - passes * own if passes < most else 0, most - passes - 1)
         return pdf.assign(passes=passes, more=more)
 
     fits = settled(counts.join(plan, counts["source"].eqNullSafe(plan["source"])).select(counts["source"], "size", "count", "source_size", "target").groupBy("source").applyInPandas(fitted, "source string, size long, count long, source_size long, target double, passes int, more long"))
@@ -125,7 +125,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     before = before.withColumn("before", F.sum("own").over(Window.partitionBy(*key).orderBy("slice")) - F.col("own")).select(F.col("source").alias("s"), F.col("size").alias("n"), F.col("slice").alias("k"), "before")
     placed = sliced.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "slice").orderBy("pick", "doc_id")))
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")) & (F.col("slice") == F.col("k")))
-    copies = F.col("passes") + F.when(F.col("before") + F.col("rank") <= F.col("more"), 1).otherwise(0)
+    each = F.floor(F.col("more") / F.col("count"))  # of a length taken more often than it has documents, first once each
+    copies = (F.col("passes") + each + F.when(F.col("before") + F.col("rank") <= F.col("more") - each * F.col("count"), 1).otherwise(0)).cast("int")
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("passes"), (F.col("size") * copies).alias("taken"))
 
 
