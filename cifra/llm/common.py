@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import tempfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 import zstandard
@@ -33,7 +35,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, and so the memory of a Python worker."""
+    """Bounds the rows of an Arrow batch, and so the memory of a Python worker; and workers look for this package where
+    the driver found it, unless it was installed or shipped to them otherwise."""
+    root, seen = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in seen.get("PYTHONPATH", "").split(os.pathsep):
+        seen["PYTHONPATH"] = os.pathsep.join(filter(None, (root, seen.get("PYTHONPATH"))))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -73,11 +79,13 @@ def group_count(total_bytes: int) -> int:
 
 
 def group_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds that are at most key: a binary search in a constant array, in the JVM."""
+    """The number of bounds that are at most key: a binary search in the JVM. All bounds are one binary constant, eight
+    bytes each in the order of their values, so that millions of them are still a small plan."""
     depth = max(1, len(bounds).bit_length())
-    padded = F.lit([*bounds, *[2**63 - 1] * (2**depth - len(bounds))])
+    held = F.lit(b"".join((b + 2**63).to_bytes(8, "big") for b in bounds).ljust(8 << depth, b"\xff"))
+    sortable = F.unhex(F.lpad(F.hex(key.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
     steps = F.lit([2**i for i in reversed(range(depth))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(padded, at + step - 1) <= key, step).otherwise(F.lit(0)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.substring(held, 8 * (at + step - 1) + 1, F.lit(8)) <= sortable, step).otherwise(F.lit(0)))
 
 
 class Grouped:
@@ -97,8 +105,8 @@ class Grouped:
         self.total = total or 0
         self.groups = min(group_count(self.total), max(1, n))
         self.buckets = max(64, int(self.total * per_bucket / 1e6) + 1)
-        cuts = [i / self.groups for i in range(1, self.groups)]
-        bounds = known.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * self.groups))).first()[0] if cuts else []
+        cuts = F.split(F.lit(",".join(str(i / self.groups) for i in range(1, self.groups))), ",").cast("array<double>")
+        bounds = known.agg(F.percentile_approx("doc_id", cuts, max(10_000, 2 * self.groups))).first()[0] if self.groups > 1 else []
         with_group = known.withColumn("g", group_of(F.col("doc_id"), sorted(set(bounds or []))))
         self.frame = with_group.select("g", "doc_id", "data")
         keys = with_group.select("g", "doc_id", F.sha2("data", 256).alias("content"))

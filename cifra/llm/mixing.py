@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 def stage(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix: documents taken at least once, with their columns, how often (passes), size, source_size, target, taken.
 
-    Rows without doc_id can't be told apart and are left out.
+    Rows without doc_id can't be told apart and are left out. Columns of docs named like an added one are replaced.
     """
     mixed = mix(docs, weights, most, seed).filter("passes > 0 and doc_id is not null").drop("source").dropDuplicates(["doc_id"])
-    return docs.join(mixed, "doc_id")
+    return docs.drop(*[c for c in mixed.columns if c != "doc_id"]).join(mixed, "doc_id")

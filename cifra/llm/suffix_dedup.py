@@ -10,9 +10,9 @@ No machine can sort the suffixes of the whole corpus, so they are dealt out by c
    window's content: equal windows have equal minimizers, and neighbouring windows mostly share theirs. Each group of
    documents sends its distinct minimizers to buckets, which answer which of them other groups have too.
 2. Runs of windows with a shared minimizer are sent, once per group and content, to the bucket of the minimizer. There
-   the windows' suffixes are sorted, and the previous smaller document of each in suffix order is found. A minimizer
-   that very many groups have would gather the surroundings of a popular passage in one bucket; its windows are dealt
-   out one by one by their own hash instead.
+   the windows' suffixes are sorted, and for each the smaller documents before and after it in suffix order are found.
+   A minimizer that very many groups have would gather the surroundings of a popular passage in one bucket; its windows
+   are dealt out one by one by their own hash instead.
 3. The answers, the smallest document of each window, go back to the groups, which remove the covered bytes.
 
 Whole copies of a smaller document are recognised first and don't take part. Bytes, not hashes, decide on equality.
@@ -197,21 +197,24 @@ def earliest_by_suffix_order(data: bytes, at: np.ndarray, doc: np.ndarray, lengt
     """Of the suffixes starting at `at` in data, each at least `length` bytes long and of document `doc`: the smallest
     document among those that agree with it in `length` bytes.
 
-    Suffixes are sorted by their first `length` bytes and then by document. In that order those with a common prefix of
-    that length stand together, previous smaller documents precede, and no next smaller one is left to look for.
+    Suffixes are put in the order of their first `length` bytes. Those with a common prefix of that length stand
+    together, and a suffix's longest previous factor reaches `length` where a smaller document stands before or after it
+    among them. The smallest on either side are running minima that start anew where the prefix changes.
     """
     buffer = np.frombuffer(data, np.uint8)
     words = np.ndarray((len(buffer) - 7,), ">u8", data, strides=(1,))
     columns = [words[at + i].astype("<u8") for i in [*range(0, length - 8, 8), length - 8]]
-    order = np.lexsort((doc, *reversed(columns)))
+    order = np.lexsort(columns[::-1])
     differs = np.zeros(len(order), bool)
-    differs[:1] = True
     for c in columns:
         s = c[order]
         differs[1:] |= s[1:] != s[:-1]
-    head = np.maximum.accumulate(np.where(differs, np.arange(len(order)), 0))
+    smaller, rank = np.unique(doc[order], return_inverse=True)
+    offset = np.cumsum(differs) * len(smaller)
+    previous = np.minimum.accumulate(rank - offset) + offset
+    following = np.minimum.accumulate((rank + offset)[::-1])[::-1] - offset
     out = np.empty_like(doc)
-    out[order] = doc[order][head]
+    out[order] = smaller[np.minimum(previous, following)]
     return out
 
 

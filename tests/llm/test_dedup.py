@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from cifra.llm import cover_dedup, suffix_dedup
+from cifra.llm import common, cover_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, n_bytes string, g int, kind string, data string"
 
@@ -91,6 +91,26 @@ def test_long_documents_are_cut_without_losing_windows(spark, monkeypatch):
     assert sum(runs.count[runs.doc == 1][runs.key[runs.doc == 1][:, None].__eq__(runs.key[runs.doc == 0]).any(axis=1)]) >= 451
 
 
+def test_groups_of_any_ids(spark):
+    bounds = [-(2**63), -5, 0, 3, 2**40]
+    ids = [-(2**63), -(2**62), -6, -5, -1, 0, 2, 3, 4, 2**40 - 1, 2**40, 2**62]
+    for n in range(len(bounds) + 1):
+        got = spark.createDataFrame([(i,) for i in ids], "id long").select(common.group_of(common.F.col("id"), bounds[:n])).collect()
+        assert [r[0] for r in got] == [sum(b <= i for b in bounds[:n]) for i in ids]
+
+
+def test_smallest_document_on_either_side_in_suffix_order():
+    rng, np = random.Random(4), suffix_dedup.np
+    for length in (9, 16, 20):
+        data = bytes(rng.choice(b"ab") for _ in range(300)) + b"abba" * 30
+        at = np.arange(len(data) - length + 1)
+        doc = np.array([rng.randint(0, 40) for _ in at], "<i8")
+        first = {}
+        for i, d in zip(at.tolist(), doc.tolist(), strict=True):
+            first[data[i : i + length]] = min(d, first.get(data[i : i + length], d))
+        assert suffix_dedup.earliest_by_suffix_order(data, at, doc, length).tolist() == [first[data[i : i + length]] for i in at.tolist()]
+
+
 def test_difference_cover_is_checked(spark):
     try:
         cover_dedup.remove_repeats(spark.createDataFrame([], SCHEMA), cover=(0, 1))

@@ -49,6 +49,9 @@ def test_mix_meets_its_targets(spark):
         assert all(r["source_size"] == size[s] and r["target"] == aim and r["taken"] in [k * r["size"] for k in range(4)] for r in mine)
         assert abs(sum(r["taken"] for r in mine) - aim) <= 1
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
+    chosen = mixing.stage(docs(spark, rows))
+    assert sorted(chosen.columns) == sorted({*docs(spark, rows).columns, "size", "source_size", "target", "passes", "taken"})
+    assert {r["doc_id"] for r in chosen.collect()} == {r["doc_id"] for r in out if r["passes"] and r["doc_id"] is not None}
 
 
 def test_targets_reshare_what_a_source_cannot_give():
