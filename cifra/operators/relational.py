@@ -38,13 +38,36 @@ def filter_or_all(df: DataFrame, condition: Column) -> DataFrame:
     return df if df.filter(condition).isEmpty() else df.filter(condition)
 
 
+def id_at(df: DataFrame, row_id: str, place: int, total: int, few: int = 1_000_000) -> int:
+    """The smallest id that at least `place` of the `total` rows do not exceed. Approximate quantiles narrow the range
+    of ids until it has few rows; only those are sorted."""
+    band, before, n = df.select(row_id), 0, total
+    while n > few:
+        at = (place - before) / n
+        low, high = band.agg(F.percentile_approx(row_id, [max(0.0, at - 0.001), min(1.0, at + 0.001)], 10_000)).first()[0]
+        under, inside = band.agg(F.count_if(F.col(row_id) < low), F.count_if(F.col(row_id).between(low, high))).first()
+        if low == high and under < place - before <= under + inside:
+            return low
+        if place - before <= under:
+            band, n = band.filter(F.col(row_id) < low), under
+        elif place - before > under + inside:
+            band, before, n = band.filter(F.col(row_id) > high), before + under + inside, n - under - inside
+        elif inside < n:
+            band, before, n = band.filter(F.col(row_id).between(low, high)), before + under, inside
+        else:
+            break
+    return band.orderBy(row_id).limit(place - before).agg(F.max(row_id)).first()[0]
+
+
 def positional_split(df: DataFrame, row_id: str, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """The first floor(share * n) rows by id, and the rest. The cut is the id at that place, found in one sort."""
-    n = int(df.count() * share)
+    """The first floor(share * n) rows by id, and the rest, with which rows without id are. Equal ids aren't parted."""
+    known = df.filter(F.col(row_id).isNotNull())
+    total = known.count()
+    n = int(total * share)
     if n == 0:
         return df.limit(0), df
-    cut = df.select(row_id).orderBy(row_id).limit(n).agg(F.max(row_id)).first()[0]
-    return df.filter(F.col(row_id) <= cut), df.filter(F.col(row_id) > cut)
+    cut = id_at(known, row_id, n, total)
+    return df.filter(F.col(row_id) <= cut), df.filter(F.col(row_id).isNull() | (F.col(row_id) > cut))
 
 
 def hash_split(df: DataFrame, row_id: str, share: float = 0.9, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -62,15 +62,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _as_streams(batches: Iterator) -> Iterator:
+    """Each record batch as the bytes of an Arrow stream of its own."""
+    import pyarrow as pa
+
+    for b in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, b.schema) as w:
+            w.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["stream"])
+
+
 def write(df: DataFrame, path: str) -> None:
-    """Parquet, or for a .f path one Feather file written from batches as they come; that is for exchange, not for bulk."""
+    """Parquet, or for a .f path one Feather file for exchange; its partitions come to the driver one at a time."""
     if not path.endswith((".f", ".feather", ".arrow")):
         df.write.mode("overwrite").parquet(path)
         return
     import pyarrow as pa
-    from pyarrow import feather
 
-    feather.write_feather(df.toArrow() if df.columns else pa.table({}), path)
+    first = df.limit(0).toArrow().schema
+    with pa.ipc.new_file(path, first) as w:
+        for row in df.mapInArrow(_as_streams, "stream binary").toLocalIterator():
+            for b in pa.ipc.open_stream(bytes(row[0])):
+                w.write_table(pa.Table.from_batches([b]).cast(first))
 
 
 def write_json_list(df: DataFrame, column: str, path: str) -> None:
