@@ -4,7 +4,8 @@ A source's target is its share of all sizes, by weight; no source gives more tha
 it can't give is shared out again by weight. Of a source, whole passes over all documents come first. For the remaining
 budget the documents are counted by exact length. Each length gives its proportional number of documents, rounded down,
 and what is then missing is filled exactly, or as nearly as the lengths allow, by bounded-knapsack dynamic programming
-over the documents left, and over further passes of them where these don't suffice. Which documents of a length are taken follows from a seeded hash of their ids.
+over the documents left, and over further passes of them where these don't suffice. Which documents of a length are
+taken follows from a seeded hash of their ids and texts.
 
 Only counts by source and length are brought together, one row a length. The choice within a length is a rank, counted
 in slices of the hash, so that no length that very many documents have is sorted in one task.
@@ -93,16 +94,26 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, again: int = 0) ->
     return taken[: len(lengths)] + taken[len(lengths) :]
 
 
+def pick_of(seed: int) -> Column:
+    """A seeded hash that tells rows apart by id and text, also where ids repeat or are null."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, passes and taken of each row of docs.
 
     docs needs doc_id, source and text; further columns don't matter. A null text has size 0, null is a source of its
     own. Documents of size 0 are taken 0 times more than the whole passes, and count nothing. Rows that repeat a doc_id
-    or have none are documents each; equal ids of one source and length are taken in any order, which makes no
+    or have none are documents each; rows equal in id, text and source are taken in any order, which makes no
     difference in the result's rows. A source of size 0 has target 0. An empty table gives an empty result. The driver
     holds one row a source, a task the lengths of one source.
     """
-    sized = settled(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size")).withColumn("pick", F.xxhash64(F.lit(seed), "doc_id")))
+    return picked(docs, weights, most, seed).drop("pick")
+
+
+def picked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """The rows of mix(), with the hash that tells them apart in pick."""
+    sized = settled(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size"), pick_of(seed).alias("pick")))
     of_source = [(r["source"], r["n"] or 0) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     aims = targets(of_source, weights, most)
     spark = docs.sparkSession
@@ -127,13 +138,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")) & (F.col("slice") == F.col("k")))
     each = F.floor(F.col("more") / F.col("count"))  # of a length taken more often than it has documents, first once each
     copies = (F.col("passes") + each + F.when(F.col("before") + F.col("rank") <= F.col("more") - each * F.col("count"), 1).otherwise(0)).cast("int")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("passes"), (F.col("size") * copies).alias("taken"))
+    return placed.select("pick", "doc_id", "source", "size", "source_size", "target", copies.alias("passes"), (F.col("size") * copies).alias("taken"))
 
 
 def stage(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix: documents taken at least once, with their columns, how often (passes), size, source_size, target, taken.
 
-    Rows without doc_id can't be told apart and are left out. Columns of docs named like an added one are replaced.
+    Rows equal in id, text and source can't be told apart; all are taken as often as the most taken of them. Columns of
+    docs named like an added one are replaced.
     """
-    mixed = mix(docs, weights, most, seed).filter("passes > 0 and doc_id is not null").drop("source").dropDuplicates(["doc_id"])
-    return docs.drop(*[c for c in mixed.columns if c != "doc_id"]).join(mixed, "doc_id")
+    key = ["pick", "doc_id", "source"]
+    mixed = picked(docs, weights, most, seed).filter("passes > 0").groupBy(*key, "size", "source_size", "target").agg(F.max("passes").alias("passes"), F.max("taken").alias("taken"))
+    added = [c for c in mixed.columns if c not in key]
+    mixed = mixed.withColumnsRenamed({c: f"_{c}" for c in key})
+    own = docs.drop(*added)
+    same = (pick_of(seed) == F.col("_pick")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    return own.join(mixed, same).select(*[own[c] for c in own.columns], *added)

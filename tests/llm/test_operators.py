@@ -51,7 +51,10 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
     chosen = mixing.stage(docs(spark, rows))
     assert sorted(chosen.columns) == sorted({*docs(spark, rows).columns, "size", "source_size", "target", "passes", "taken"})
-    assert {r["doc_id"] for r in chosen.collect()} == {r["doc_id"] for r in out if r["passes"] and r["doc_id"] is not None}
+    taken = lambda rows: sorted(((r["doc_id"], r["size"], r["source"], r["passes"], r["taken"]) for r in rows if r["passes"]), key=str)
+    alike = taken(r for r in out if r["doc_id"] is not None)
+    assert [r for r in taken(chosen.collect()) if r[0] is not None] == alike
+    assert len({r["passes"] for r in chosen.filter("doc_id is null").collect()}) <= 1
 
 
 def test_targets_reshare_what_a_source_cannot_give():
