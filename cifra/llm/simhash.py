@@ -9,11 +9,16 @@ Within a variant's members links are found by expanding one member at a time aga
 members of a dense group leave the comparison at once; only a spanning forest of the links is passed on, never all
 pairs. Components follow from that forest by alternating star contraction, whose rounds are checkpointed. Equal
 fingerprints are one node throughout, so exact copies cost nothing.
+
+A variant that very many different fingerprints share is not compared in one task. Two fingerprints differ in at most 4
+bits exactly if some number differs from each in at most 2. So each member names all such numbers, and the members that
+name the same one are linked with the smallest of them: an aggregation, however many there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,10 @@ SEED = 42
 MOST_BITS = 4
 #: First bit of each segment, and the end.
 SEGMENTS = (0, 21, 42, 64)
+#: Different fingerprints of one variant that a task holds and compares; those of a larger one are linked by balls.
+TOGETHER = 1 << 17
+#: One in so many fingerprints is looked at to foresee such variants, before their rows are dealt out.
+FORESEEN = 64
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -85,22 +94,45 @@ def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def balls(members: DataFrame, most: int) -> DataFrame:
+    """a, b: links between members (node long, print long) that connect what all links connect, without comparing any.
+
+    Each member names the numbers near it: those within half of `most` bits (close), or, for an odd `most`, one bit more.
+    A close member of a number and any other member of it differ in at most `most` bits, and two members that differ in
+    no more have such a number in common; so all members of a number are linked with its smallest close one.
+    """
+    near = most // 2
+    masks = [sum(1 << bit for bit in bits) for n in range(most - near + 1) for bits in combinations(range(64), n)]
+    named = members.select("node", "print", F.explode(F.lit([m - (m >> 63 << 64) for m in masks])).alias("mask"))
+    named = named.select("node", F.col("print").bitwiseXOR(F.col("mask")).alias("number"), (F.bit_count("mask") <= near).alias("close"))
+    least = named.groupBy("number").agg(F.min(F.when(F.col("close"), F.col("node"))).alias("least"), F.count("*").alias("n")).filter("n > 1 and least is not null")
+    linked = named.join(least, "number").filter("node <> least")
+    return linked.select(F.greatest("node", "least").alias("a"), F.least("node", "least").alias("b")).distinct()
+
+
+def links(nodes: DataFrame, most: int = MOST_BITS, together: int = TOGETHER) -> DataFrame:
     """a, b: links between nodes (node long, print long; distinct prints) that connect what all links connect."""
     shift = [SEGMENTS[max(i for i in range(3) if SEGMENTS[i] <= bit)] for bit in range(64)]
     size = {SEGMENTS[i]: SEGMENTS[i + 1] - SEGMENTS[i] for i in range(3)}
     variants = F.array(*[F.shiftrightunsigned("print", shift[bit]).bitwiseAND(F.lit((2 ** size[shift[bit]] - 1) & ~(1 << bit - shift[bit]))).bitwiseOR(F.lit(bit << 24)) for bit in range(64)])
-    rows = nodes.select(F.explode(variants).alias("variant"), "node", "print")
+    of = lambda some: some.select(F.explode(variants).alias("variant"), "node", "print")
+
+    def batch(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], names=["a", "b"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((3, 0), "<i8")
+        rest, passed = np.zeros((3, 0), "<i8"), None  # passed: a variant of too many members, whose rows are passed over
         for b in batches:
-            rows = np.concatenate([rest, np.stack([b.column(i).to_numpy() for i in range(3)])], axis=1)
+            rows = np.stack([b.column(i).to_numpy() for i in range(3)])
+            rows = np.concatenate([rest, rows if passed is None else rows[:, rows[0] != passed]], axis=1)
             if not rows.shape[1]:
                 continue
             last = np.searchsorted(rows[0], rows[0][-1])  # the last variant may go on in the next batch
             yield from found(rows[:, :last])
             rest = rows[:, last:]
+            if rest.shape[1] > together:
+                passed, rest = rest[0, 0], rest[:, :0]
+                yield batch(np.array([passed]), None)
         yield from found(rest)
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -112,14 +144,27 @@ def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
         pairs = cut[count == 2]
         pairs = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= most]
         a, b = [node[pairs]], [node[pairs + 1]]
-        for start, n in zip(cut[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+        several = (count > 2) & (count <= together)
+        for start, n in zip(cut[several].tolist(), count[several].tolist(), strict=True):
             got = np.array(forest(prints[start : start + n], most), "<i8").reshape(-1, 2) + start
             a.append(node[got[:, 0]])
             b.append(node[got[:, 1]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
+        yield batch(np.concatenate(a), np.concatenate(b))
+        yield batch(variant[cut[count > max(2, together)]], None)
+
+    # The sample only foresees which variants are crowded, so that these aren't dealt out; the task that meets a crowded
+    # one all the same passes it over. Either way its members are linked by balls.
+    sample = of(nodes.filter(F.pmod(F.xxhash64("print"), F.lit(FORESEEN)) == 0))
+    foreseen = settled(sample.groupBy("variant").count().filter(F.col("count") > together / FORESEEN).select("variant"))
+    rows = of(nodes) if foreseen.isEmpty() else of(nodes).join(foreseen, "variant", "left_anti")
     dealt = rows.repartition("variant").sortWithinPartitions("variant")
-    return dealt.mapInArrow(verified, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    checked = settled(dealt.mapInArrow(verified, "a long, b long"))
+    linked = checked.filter("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    crowded = foreseen.unionByName(checked.filter("b is null").select(F.col("a").alias("variant")))
+    if crowded.isEmpty():
+        return linked
+    members = of(nodes).join(crowded, "variant", "left_semi").select("node", "print").distinct()
+    return linked.unionByName(balls(members, most))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, seed: int = SEED) -> DataFrame:
+def clusters(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, seed: int = SEED, together: int = TOGETHER) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id reachable, of each row.
 
     docs needs doc_id and text; further columns don't matter. A null or wordless text has fingerprint zero and is
@@ -162,7 +207,7 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, see
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
     # A print that only rows without doc_id have still links; its node lies beyond all ids.
     nodes = settled(firsts.select("print", "doc_id", F.coalesce(F.col("doc_id"), F.lit(2**62) + F.pmod(F.xxhash64("print"), F.lit(2**62))).alias("node")))
-    roots = components(links(nodes, most))
+    roots = components(links(nodes, most, together))
     known = nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     known = known.withColumn("component_id", F.when(F.col("component_id") < 2**62, F.col("component_id")))
     return prints.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

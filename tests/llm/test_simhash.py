@@ -1,8 +1,10 @@
 import random
 
+import pytest
 import xxhash
 
 from cifra.llm import simhash
+from cifra.llm.common import BATCH_ROWS
 
 
 def brute_print(text):
@@ -50,13 +52,15 @@ def test_clusters_are_the_components_of_all_links(spark):
     assert simhash.clusters(docs.limit(0)).count() == 0
 
 
-def test_variants_find_every_link_and_the_forest_connects_it(spark):
+@pytest.mark.parametrize(("most", "together", "batch"), [(4, simhash.TOGETHER, 1000), (3, simhash.TOGETHER, 1000), (4, 40, 20), (4, 2, 1000), (3, 2, 1000)])
+def test_variants_find_every_link_and_the_forest_connects_it(spark, most, together, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(6)]
     prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(60)})
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     nodes = spark.createDataFrame(list(enumerate(signed)), "node long, print long")
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, most, together)).collect()}
     parent = list(range(len(prints)))
 
     def root(i):
@@ -66,10 +70,11 @@ def test_variants_find_every_link_and_the_forest_connects_it(spark):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if (prints[i] ^ prints[j]).bit_count() <= most:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     assert {i: root(i) for i in range(len(prints)) if root(i) != i} == got
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def test_a_chain_is_one_component(spark):
