@@ -73,6 +73,30 @@ def has_number(c: Column, least: int, most: int | None = None) -> Column:
     return ok & (F.char_length(c) < most) if most else ok
 
 
+def numbered_parts(c: Column, least: int, cut: int | None = None) -> Column:
+    """The parts between stops with a digit and over `least` characters (counted with the spaces around them, which go
+    then), each cut to `cut` characters."""
+    parts = F.filter(F.split(c, "[.!?]+"), lambda s: F.regexp_like(s, F.lit("(?U)\\d")) & (F.char_length(s) > least))
+    return F.transform(parts, lambda s: F.substring(stripped(s), 1, cut) if cut else stripped(s))
+
+
+def feed_texts(xml: Column) -> Column:
+    """Titles and descriptions of the items of a news feed (at the root or in its channel), without tags. A feed that
+    isn't well-formed has none, and neither has null."""
+    items = "array<struct<title:string,description:string>>"
+    parsed = F.from_xml(xml, f"channel struct<item:{items}>, item {items}")
+    none = F.array().cast(items)
+    every = F.concat(F.coalesce(parsed["channel"]["item"], none), F.coalesce(parsed["item"], none))
+    texts = F.flatten(F.transform(every, lambda i: F.array(i["title"], i["description"])))
+    return F.transform(F.filter(texts, lambda t: t.isNotNull() & (t != "")), without_tags)
+
+
+def extracts(json: Column) -> Column:
+    """The page extracts in an encyclopedia's answer; none where it isn't JSON or holds none."""
+    pages = F.from_json(json, "query struct<pages:map<string,struct<extract:string>>>")["query"]["pages"]
+    return F.coalesce(F.transform(F.map_values(pages), lambda p: F.coalesce(p["extract"], F.lit(""))), F.array().cast("array<string>"))
+
+
 def collapsed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, SPACE, " "), "^ | $", "")
 

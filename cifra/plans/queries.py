@@ -290,6 +290,21 @@ def sentence_numbers(spark, sf_dir):
     return s.groupBy(F.col("row").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.char_length("sentence")).alias("characters"), F.count_if(text.has_number(F.col("sentence"), 15)).alias("with_number"))
 
 
+@query("""SELECT o_orderkey, unnest(['Заказ ' || o_orderkey || ' оплачен сегодня полностью', 'Цена <= ' || o_orderkey || ' рублей & доставка']) AS sentence FROM orders""")
+def feed_sentences(spark, sf_dir):
+    item = "<item><title>Заказ {} оплачен сегодня полностью! Ещё {}.</title><description>&lt;b&gt;Цена&lt;/b&gt; &lt;= {} рублей &amp; доставка? Без числа в этом предложении</description></item>"
+    k = F.col("o_orderkey").cast("string")
+    xml = F.concat(F.lit("<rss><channel>"), F.replace(F.lit(item), F.lit("{}"), k), F.lit("</channel></rss>"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.flatten(F.transform(text.feed_texts(xml), lambda t: text.numbered_parts(t, 20)))).alias("sentence"))
+
+
+@query("""SELECT o_orderkey, left('В заказе ' || o_orderkey || ' было сто "разных" товаров, и все они дошли', 40) AS sentence FROM orders""")
+def extract_sentences(spark, sf_dir):
+    said = F.concat(F.lit("Вот. В заказе "), "o_orderkey", F.lit(' было сто "разных" товаров, и все они дошли! Без числа же предложение не берут'))
+    answer = F.to_json(F.struct(F.struct(F.create_map(F.col("o_orderkey").cast("string"), F.struct(said.alias("extract"))).alias("pages")).alias("query")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.flatten(F.transform(text.extracts(answer), lambda t: text.numbered_parts(t, 30, 40)))).alias("sentence"))
+
+
 @query()
 def html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))

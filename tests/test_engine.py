@@ -143,3 +143,11 @@ def test_synthetic_data(spark):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, synth.dataset(spark, 1200).collect()), key=str)
     assert {r[0] for r in df.select("noise_level").distinct().collect()} == {"clean", "noisy"}
     assert {r[0] for r in df.select("num_type").distinct().collect()} == {"cardinal", "ordinal"}
+
+
+def test_feeds_and_answers_that_cannot_be_read_have_no_texts(spark):
+    rows = ["<rss><item>", None, "", "no xml", "<rss><channel><item><title><![CDATA[a <i>b</i> 1]]></title></item><item><description>x</description></item></channel></rss>", "<rdf><item><title>t</title></item></rdf>"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string").orderBy("i")
+    assert [r[0] for r in df.select(text.feed_texts(F.col("x"))).collect()] == [[], [], [], [], ["a b 1", "x"], ["t"]]
+    answers = spark.createDataFrame([(i, r) for i, r in enumerate(['{"query": {"pages": {"7": {"extract": "a"}, "8": {"title": "b"}}}}', '{"query": {}}', "[", None])], "i int, x string").orderBy("i")
+    assert [r[0] for r in answers.select(text.extracts(F.col("x"))).collect()] == [["a", ""], [], [], []]
