@@ -55,12 +55,13 @@ def preferences(turns: DataFrame) -> DataFrame:
 
     turns has a row a turn: pair_id, is_chosen, conv_id, turn, role, text; further columns don't matter. Turns go by
     their number, null first, equal numbers by role and text; repeated rows are turns each. A null text is empty, a null
-    role is "unknown". A missing side is an empty conversation: nothing is common and its completion is empty. Rows
-    without pair_id form one pair of that name. If one side of a pair has several conv_ids, the smallest is reported and
+    role is "unknown". A missing side is an empty conversation: nothing is common and its completion is empty. A turn
+    without pair_id belongs to no other, and is a pair of its own without id, however many there are. If one side of a pair has several conv_ids, the smallest is reported and
     all its turns count. An empty table gives an empty result. A pair is one row, so its conversations must fit a task.
     """
     one = F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    own = turns.filter("is_chosen is not null").groupBy("pair_id").agg(
+    lone = F.when(F.col("pair_id").isNull(), F.monotonically_increasing_id())  # tells turns without pair_id apart
+    own = turns.filter("is_chosen is not null").withColumn("lone", lone).groupBy("pair_id", "lone").agg(
         F.min(F.when(F.col("is_chosen"), F.col("conv_id"))).alias("chosen_id"),
         F.min(F.when(~F.col("is_chosen"), F.col("conv_id"))).alias("rejected_id"),
         F.sort_array(F.collect_list(F.when(F.col("is_chosen"), one))).alias("c"),
@@ -73,6 +74,6 @@ def preferences(turns: DataFrame) -> DataFrame:
 
 
 def neighbours(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k and 2k + 1 as chosen and rejected of pair k; a conversation without conv_id is the chosen side of a pair without id."""
+    """Conversations 2k and 2k + 1 as chosen and rejected of pair k; a turn without conv_id is the chosen side of a pair without id."""
     number = F.col("conv_id").cast("long")
     return conversations.select(F.floor(number / 2).cast("long").alias("pair_id"), F.coalesce(F.pmod(number, F.lit(2)) == 0, F.lit(True)).alias("is_chosen"), number.alias("conv_id"), "turn", "role", "text")

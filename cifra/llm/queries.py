@@ -61,13 +61,13 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 OP1 = """
 WITH turns AS (
   SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, coalesce(conv_id % 2 = 0, true) AS is_chosen, conv_id,
-    {'turn': turn, 'role': role, 'text': text} AS t
+    {'turn': turn, 'role': role, 'text': text} AS t, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone
   FROM conversations),
 pairs AS (
   SELECT pair_id, min(conv_id) FILTER (is_chosen) AS chosen_id, min(conv_id) FILTER (NOT is_chosen) AS rejected_id,
     coalesce(list(t ORDER BY t.turn NULLS FIRST, t.role NULLS FIRST, t.text NULLS FIRST) FILTER (is_chosen), []) AS c,
     coalesce(list(t ORDER BY t.turn NULLS FIRST, t.role NULLS FIRST, t.text NULLS FIRST) FILTER (NOT is_chosen), []) AS r
-  FROM turns GROUP BY pair_id),
+  FROM turns GROUP BY pair_id, lone),
 cut AS (
   SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(c), len(r)) + 1), lambda i: i <= len(c) AND i <= len(r)
       AND c[i].role IS NOT DISTINCT FROM r[i].role AND c[i].text IS NOT DISTINCT FROM r[i].text), false) - 1,

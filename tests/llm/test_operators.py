@@ -17,11 +17,13 @@ def docs(spark, rows):
 def test_preferences_share_the_longest_prefix(spark):
     rows = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "assistant", "<|end|> x"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"),
-        (2, 0, None, None), (2, 0, None, None), (3, 0, None, None), (3, 0, None, None), (4, 0, "assistant", "alone"), (None, 1, "user", "lost"), (7, None, "user", "x"), (7, 0, "assistant", "é" * 3),
+        (2, 0, None, None), (2, 0, None, None), (3, 0, None, None), (3, 0, None, None), (4, 0, "assistant", "alone"), (None, 1, "user", "lost"), (None, 1, "user", "lost"), (None, 0, "assistant", "lost"), (7, None, "user", "x"), (7, 0, "assistant", "é" * 3),
     ]
     turns = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id long, turn long, role string, text string, prompt string, k string")
-    got = {r["pair_id"]: r for r in chat_format.preferences(chat_format.neighbours(turns)).collect()}
+    rows = chat_format.preferences(chat_format.neighbours(turns)).collect()
+    got = {r["pair_id"]: r for r in rows}
     first = got[0]
+    assert sorted(r["chosen"] for r in rows if r["pair_id"] is None) == ["<|assistant|>\nlost<|end|>\n", *["<|user|>\nlost<|end|>\n"] * 2] and len(rows) == 7
     assert first["n_prompt_turns"] == 1 and first["prompt"] == "<|user|>\nhi<|end|>\n"
     assert first["chosen"] == "<|assistant|>\nyes<|end|>\n<|assistant|>\n< |end|> x<|end|>\n" and first["rejected"] == "<|assistant|>\nno<|end|>\n"
     spans = [tuple(map(int, s.split("-"))) for s in first["chosen_mask"].split(",")]
