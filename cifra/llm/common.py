@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import tempfile
@@ -9,6 +10,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; with very long documents the default of 10,000 would not fit in a worker.
 BATCH_ROWS = 1000
+#: Bytes of a text's SHA-256 by which a copy is told.
+DIGEST = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +98,8 @@ class Grouped:
     frame: g, doc_id, data. Every group holds a range of doc_ids, and a smaller g holds smaller ids; the number of
     documents in a group is even whatever the ids are, as the bounds are quantiles. Groups hold a bounded amount of
     text, so a copied or popular document never lands with all its copies in one task.
-    copies: g, kind, key, payload rows that name each document whose whole text is also that of a smaller doc_id.
+    copies: g, kind, key, payload rows that name each document whose whole text is also that of a smaller doc_id, by
+    its doc_id (key) and the digest of its text (payload): another text under the same doc_id is no copy.
     Documents without doc_id are not in frame.
     """
 
@@ -112,7 +117,19 @@ class Grouped:
         keys = with_group.select("g", "doc_id", F.sha2("data", 256).alias("content"))
         # Settled, so that the join deals out both sides itself and can split a content that very many documents have.
         firsts = settled(keys.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"))
-        self.copies = settled(keys.join(firsts, "content").filter("doc_id > first").select("g", F.lit("copy").alias("kind"), F.col("doc_id").alias("key"), F.lit(None).cast("binary").alias("payload")))
+        self.copies = settled(keys.join(firsts, "content").filter("doc_id > first").select("g", F.lit("copy").alias("kind"), F.col("doc_id").alias("key"), F.unhex(F.substring("content", 1, 2 * DIGEST)).alias("payload")))
+
+
+def copies_of(side: pd.DataFrame) -> set[tuple[int, bytes]]:
+    """The doc_id and digest of each copy that a group's side rows name."""
+    rows = side[side["kind"] == "copy"]
+    return set(zip(rows["key"].tolist(), map(bytes, rows["payload"]), strict=True))
+
+
+def are_copies(rows: list[tuple[int, bytes]], copies: set[tuple[int, bytes]]) -> np.ndarray:
+    """Of each row (doc_id, text), whether it is one of copies; only texts whose doc_id is named are digested."""
+    named = {c[0] for c in copies}
+    return np.array([i in named and (i, hashlib.sha256(t).digest()[:DIGEST]) in copies for i, t in rows], bool)
 
 
 MESSAGE = "g int, kind string, key long, payload binary"

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import MESSAGE, Grouped, bucket_rows, packed, text_bytes, unpacked
+from cifra.llm.common import MESSAGE, Grouped, are_copies, bucket_rows, copies_of, packed, text_bytes, unpacked
 
 WINDOW = 50
 PERIOD = 31
@@ -46,10 +46,10 @@ class WordHashes(dict):
 class Sequences:
     """The words of a group's documents by ascending id, with rolling hashes over all of them."""
 
-    def __init__(self, pdf: pd.DataFrame, copies: set[int]):
+    def __init__(self, pdf: pd.DataFrame, copies: set[tuple[int, bytes]]):
         rows = sorted(zip(pdf["doc_id"].tolist(), map(bytes, pdf["data"]), strict=True))
         self.ids = np.array([r[0] for r in rows], "<i8")
-        self.copy = np.array([r[0] in copies for r in rows], bool)
+        self.copy = are_copies(rows, copies)
         self.words = [r[1].split() for r in rows]
         self.sizes = np.array([len(w) for w in self.words], "<i8")
         self.starts = np.r_[0, np.cumsum(self.sizes)]
@@ -95,10 +95,6 @@ def _messages(rows) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["g", "kind", "key", "payload"])
 
 
-def _copies(side: pd.DataFrame) -> set[int]:
-    return set(side.loc[side["kind"] == "copy", "key"].tolist())
-
-
 def _anchor_keys(s: Sequences, buckets: int, window: int, period: int, cover: tuple[int, ...]):
     doc, at = s.anchors(window, period, cover)
     h = s.hashes(at, window - period + 1, BASES[0])
@@ -110,7 +106,7 @@ def _send_anchors(buckets: int, *shape):
     def send(left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return _messages([])
-        _, _, keys, _ = _anchor_keys(Sequences(left, _copies(side)), buckets, *shape)
+        _, _, keys, _ = _anchor_keys(Sequences(left, copies_of(side)), buckets, *shape)
         low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
         return _messages(bucket_rows(int(left["g"].iloc[0]), "anchors", np.arange(len(low)), (keys >> np.uint64(32)).astype("<i8"), lambda i: low[i].tobytes()))
 
@@ -147,7 +143,7 @@ def _send_windows(buckets: int, window: int, period: int, cover: tuple[int, ...]
     def send(left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return _messages([])
-        g, s = int(left["g"].iloc[0]), Sequences(left, _copies(side))
+        g, s = int(left["g"].iloc[0]), Sequences(left, copies_of(side))
         doc, at, keys, which = _anchor_keys(s, buckets, window, period, cover)
         shared = _all_bits(side, "shared")
         pairs = np.unique(which.astype("<i8") << 32 | doc)
@@ -184,7 +180,7 @@ def _remove(buckets: int, window: int, with_text: bool):
         columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
         if left.empty:
             return pd.DataFrame(columns=columns)
-        s = Sequences(left, _copies(side))
+        s = Sequences(left, copies_of(side))
         gone = np.zeros(s.starts[-1], bool)
         for i in np.flatnonzero(s.copy & (s.sizes >= window)):
             gone[s.starts[i] : s.starts[i + 1]] = True

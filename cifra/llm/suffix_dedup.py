@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import MESSAGE, Grouped, bucket_rows, packed, text_bytes, unpacked
+from cifra.llm.common import MESSAGE, Grouped, are_copies, bucket_rows, copies_of, packed, text_bytes, unpacked
 
 LENGTH = 50
 GRAM = 20
@@ -64,11 +64,11 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 class Runs:
     """The windows of a group's documents in runs of one minimizer: document, first window, windows, key."""
 
-    def __init__(self, pdf: pd.DataFrame, copies: set[int], buckets: int, length: int, gram: int, hashed: bool = True):
+    def __init__(self, pdf: pd.DataFrame, copies: set[tuple[int, bytes]], buckets: int, length: int, gram: int, hashed: bool = True):
         rows = sorted(zip(pdf["doc_id"].tolist(), map(bytes, pdf["data"]), strict=True))
         self.ids = np.array([r[0] for r in rows], "<i8")
         self.texts = [r[1] for r in rows]
-        self.copy = np.array([r[0] in copies for r in rows], bool)
+        self.copy = are_copies(rows, copies)
         self.starts = np.cumsum([0, *map(len, self.texts)])
         self.buckets = buckets
         if hashed:
@@ -115,10 +115,6 @@ class Runs:
         return np.bincount(pairs >> 32, minlength=len(self.keys)) > 1
 
 
-def _copies(side: pd.DataFrame) -> set[int]:
-    return set(side.loc[side["kind"] == "copy", "key"].tolist())
-
-
 def _messages(rows) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["g", "kind", "key", "payload"])
 
@@ -127,7 +123,7 @@ def _send_keys(buckets: int, length: int, gram: int):
     def send(left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return _messages([])
-        runs = Runs(left, _copies(side), buckets, length, gram)
+        runs = Runs(left, copies_of(side), buckets, length, gram)
         low = (runs.keys & np.uint64(0xFFFFFFFF)).astype("<u4")
         return _messages(bucket_rows(int(left["g"].iloc[0]), "keys", np.arange(len(low)), (runs.keys >> np.uint64(32)).astype("<i8"), lambda i: low[i].tobytes()))
 
@@ -161,7 +157,7 @@ def _send_segments(buckets: int, length: int, gram: int):
         if left.empty:
             return _messages([])
         g = int(left["g"].iloc[0])
-        runs = Runs(left, _copies(side), buckets, length, gram)
+        runs = Runs(left, copies_of(side), buckets, length, gram)
         at, n = np.unique(runs.keys >> np.uint64(32), return_counts=True)
         shared, popular = _bits(side, dict(zip(at.tolist(), n.tolist(), strict=True)))
         shared |= runs.in_several_documents()
@@ -265,7 +261,7 @@ def _remove(length: int, with_text: bool):
     def remove(left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        runs = Runs(left, _copies(side), 1, length, GRAM, hashed=False)
+        runs = Runs(left, copies_of(side), 1, length, GRAM, hashed=False)
         gone = np.zeros(runs.starts[-1], bool)
         for i in np.flatnonzero(runs.copy):
             if len(runs.texts[i]) >= length:

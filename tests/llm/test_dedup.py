@@ -117,3 +117,15 @@ def test_difference_cover_is_checked(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_a_copy_and_another_text_under_one_id(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(70))
+    copied, unique = text(), text()
+    rows = [(3, copied), (5, copied), (5, unique), (5, copied), (9, "x " + unique), (9, unique)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for got, tokens, join in ((suffix_dedup.remove_repeats(df), str.encode, bytes), (cover_dedup.remove_repeats(df), str.split, tuple)):
+        want = sorted((r[0], len(t), sum(gone)) for r, (t, gone) in zip(rows, brute(rows, tokens, join, 50), strict=True))
+        assert sorted((r[0], r[1], r["n_removed"]) for r in got.collect()) == want
+        assert [w[2] for w in want if w[0] == 5].count(0) == 1
