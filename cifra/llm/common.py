@@ -53,6 +53,11 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias("data")
 
 
+def row_hash(names: list[str]) -> Column:
+    """A hash that tells rows apart by the given columns, null by null, also where ids repeat or are null."""
+    return F.xxhash64(*names, *[F.col(n).isNull() for n in names])
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

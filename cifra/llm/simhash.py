@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import settled, short_batches, text_bytes
+from cifra.llm.common import row_hash, settled, short_batches, text_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -66,16 +66,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones.T.ravel() > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and print, the fingerprint as a signed long, of each row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """doc_id, print, the fingerprint as a signed long, and row (a long, null if not given) of each row of docs."""
     short_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), b.column(2)], names=["doc_id", "print", "row"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(each, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes(), (F.lit(None) if row is None else row).cast("long").alias("row")).mapInArrow(each, "doc_id long, print long, row long")
 
 
 def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -201,24 +201,38 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, see
     through it, and is never a component_id unless its whole component has none, which gives null. An empty table gives
     an empty result.
     """
+    return clustered(docs, shingle, most, seed, together).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def clustered(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, seed: int = SEED, together: int = TOGETHER, row: Column | None = None) -> DataFrame:
+    """doc_id, print, row (as in fingerprints()), component (a print of it) and component_id of each row of docs.
+
+    A node is a fingerprint, not a doc_id: rows of quite different texts that repeat a doc_id aren't linked by it.
+    """
     if most > 4:
         raise ValueError("three segments with one deletion find at most 4 differing bits")
-    prints = settled(fingerprints(docs, shingle, seed))
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
-    # A print that only rows without doc_id have still links; its node lies beyond all ids.
-    nodes = settled(firsts.select("print", "doc_id", F.coalesce(F.col("doc_id"), F.lit(2**62) + F.pmod(F.xxhash64("print"), F.lit(2**62))).alias("node")))
+    prints = settled(fingerprints(docs, shingle, seed, row))
+    nodes = settled(prints.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("print")))
     roots = components(links(nodes, most, together))
-    known = nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
-    known = known.withColumn("component_id", F.when(F.col("component_id") < 2**62, F.col("component_id")))
-    return prints.join(known, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    # Only components of several fingerprints are brought together; the root of one isn't among the nodes of roots.
+    linked = settled(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes, "node").select("print", F.col("root").alias("component"), "least"))
+    least = settled(linked.groupBy("component").agg(F.min("least").alias("component_id")))
+    of_linked = linked.join(least, "component").select("print", "component", "component_id")
+    # Settled, so that the join deals out both sides itself and can split a print that very many rows have.
+    known = settled(nodes.join(of_linked, "print", "left").select("print", F.coalesce("component", "print").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
+    return prints.join(known, "print").select("doc_id", "print", "row", "component", "component_id")
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id. Of rows that repeat a doc_id one stays; rows
-    without doc_id can't be told apart and all stay."""
-    found = settled(clusters(docs).filter("doc_id is not null"))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
-    return left
+    """docs with exactly one row of each component: the smallest doc_id; rows without doc_id come last, and of rows that
+    repeat an id a hash of the whole row decides. Of rows equal in every column one stays."""
+    row, key = row_hash(docs.columns), F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    found = settled(clustered(docs, row=row).select("component", "doc_id", "row"))
+    firsts = settled(found.groupBy("component").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first < last").select("component", "first"))
+    gone = found.join(firsts, "component").filter(key > F.col("first")).select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")).distinct()
+    same = (F.col("_row") == row) & F.col("_doc_id").eqNullSafe(F.col("doc_id").cast("long"))
+    left = docs.join(gone, same, "left_anti")
+    alike = settled(found.groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")))
+    if not alike.isEmpty():
+        left = left.join(alike, same, "left_anti").unionByName(left.join(alike, same, "left_semi").dropDuplicates(docs.columns))
+    return left.select(*docs.columns)

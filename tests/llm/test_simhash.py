@@ -80,3 +80,16 @@ def test_variants_find_every_link_and_the_forest_connects_it(spark, most, togeth
 def test_a_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)], "a long, b long")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    rng = random.Random(14)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (5, c, "t"), (None, c, "s"), (None, d, "s"), (None, d, "s"), (None, d, "t"), (None, d, None), (7, e, "u"), (7, e, "u"), (None, text(), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in simhash.stage(docs).collect()]
+    assert sorted(t for _, t, _ in got) == sorted({t for _, t, _ in rows})
+    assert {(3, a), (5, b), (5, c), (None, d), (7, e)} <= {(i, t) for i, t, _ in got}
+    assert sorted(got, key=str) == sorted(map(tuple, simhash.stage(docs.repartition(3)).collect()), key=str)
+    assert sorted(map(tuple, simhash.clusters(docs).collect()), key=str) == brute_components(rows)
