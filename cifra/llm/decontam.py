@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import packed, settled, short_batches, text_bytes, unpacked
+from cifra.llm.common import packed, row_hash, settled, short_batches, text_bytes, unpacked
 
 WINDOW = 13
 #: Words are runs of digits, letters a-z and everything beyond ASCII.
@@ -208,6 +208,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, perce
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; rows without doc_id are judged by nothing and stay."""
-    bad = contamination(docs, items).filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the contaminated rows. Each row is judged by its own text: the verdict comes back by a hash of id and
+    text, so that rows without doc_id are judged too and rows that repeat one don't share a verdict."""
+    row = row_hash(["doc_id", "text"])
+    bad = contamination(docs.select(row.alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(bad, row == F.col("_row"), "left_anti").select(*docs.columns)

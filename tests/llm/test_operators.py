@@ -202,6 +202,14 @@ def test_contamination_is_every_occurrence(spark):
     assert not any(r["contaminated"] for r in decontam.contamination(docs(spark, rows), table.limit(0)).collect())
 
 
+def test_each_row_is_dropped_or_kept_by_its_own_verdict(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    rows = [(None, item, "a"), (None, "no passage here", "a"), (4, item + " end", "a"), (4, "clean one", "a"), (4, None, "a"), (None, None, "a"), (5, "x", "b")]
+    left = decontam.stage(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in left.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+
+
 def test_proximity():
     import numpy as np
 
