@@ -78,7 +78,14 @@ OPEN, CLOSE, NAME = r"\s?[\[({]\s?", r"\s?[\])}]\s?", r"[A-Za-z0-9-]{1,63}"
 SPELLED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{OPEN}(?:at|AT|@){CLOSE}{NAME}(?:(?:{OPEN}(?:dot|DOT|\.){CLOSE}|\s(?:dot|DOT)\s|\.){NAME}){{1,4}}|\s(?:at|AT)\s{NAME}(?:(?:{OPEN}(?:dot|DOT){CLOSE}|\s(?:dot|DOT)\s){NAME}){{1,4}})"
 )
-MARKS = tuple(f"{o}{m}" for o in ("(", "[", "{", "( ", "[ ", "{ ") for m in ("at", "AT", "@")) + (" dot ", " DOT ")
+#: Every match of SPELLED holds one of these: a bracketed at, or after a plain one a dot word with a bracket or space behind.
+AT_MARK = re.compile(rf"[\[({{]\s?(?:at|AT|@)\s?[\])}}]")
+DOT_MARK = re.compile(r"(?:dot|DOT)[\])}\s]")
+
+
+def marked(text: str) -> bool:
+    """Whether SPELLED may match at all; never false where it does."""
+    return AT_MARK.search(text) is not None or DOT_MARK.search(text) is not None
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -96,12 +103,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                         break
                     if 13 <= total:
                         out.append(("card", a, groups[j][1]))
-                    if 8 <= total <= 15 and j > i:
+                    if 8 <= total <= 15:
                         start = a - 1 if a and text[a - 1] == "(" else a
                         out.append(("phone", start, groups[j][1]))
         if ":" in text:
             out += [("ip", *m.span()) for m in COLONS.finditer(text)]
-    if any(m in text for m in MARKS):
+    if marked(text):
         out += [("email", *m.span()) for m in SPELLED.finditer(text)]
     return out
 
@@ -143,10 +150,10 @@ def invented(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 
     def phone() -> str:
         a, b, c = some(3), some(3), some(4)
-        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{some(2)} {a} {b} {c}", f"0{a} {b}{c}", f"{a} {b} {c}"])
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{some(2)} {a} {b} {c}", f"0{a} {b}{c}", f"{a} {b} {c}", a + b + c, some(rng.randint(8, 15))])
 
     def spelled() -> str:
-        at, dot = rng.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" at ", " dot ")])
+        at, dot = rng.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" at ", " dot "), (" at ", " (dot) "), (" at ", "[dot]"), ("\n(at)\n", "\n(dot)\n"), ("\tat\t", "\tdot\t")])
         return f"{word()}.{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
 
     colons = lambda: rng.choice([":".join(f"{rng.getrandbits(16):x}" for _ in range(8)), f"2001:db8::{rng.getrandbits(16):x}:{rng.getrandbits(12):x}", f"fe80::{rng.getrandbits(16):x}:{rng.getrandbits(16):x}"])
@@ -156,16 +163,17 @@ def invented(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         lambda: f"order {some(rng.randint(8, 16))}", lambda: f"version {some(1)}.{some(1)}.{some(2)}", lambda: f"{some(4)}-{rng.randint(10, 12)}-{some(2)}", lambda: f"isbn {some(3)}-{some(1)}-{some(5)}-{some(3)}-{some(1)}",
         lambda: f"{rng.randint(0, 23):02}:{some(2)}:{some(2)}", lambda: f"{some(3)} {some(3)} {some(3)}", lambda: f"{some(13)}", lambda: f"{some(16)}", lambda: f"{some(2)}.{some(2)}.{some(4)}", lambda: f"{some(1)}.{some(8)}",
         lambda: f"look at {word()}. {word()}", lambda: f"{word()} at {word()}.{word()}", lambda: f"token {hashlib.md5(word().encode()).hexdigest()}", lambda: f"ticket {some(3)}-{some(4)}-{some(4)}", lambda: " ".join(some(rng.randint(1, 3)) for _ in range(6)),
-        lambda: f"{word()} at the {word()} . {word()}", lambda: f"{some(3)}/{some(4)}/{some(4)}", lambda: f"{rng.randint(1, 9)}:{some(1)}:{some(1)}", lambda: f"page {some(4)}-{some(4)}", lambda: "::" + word()[:3],
+        lambda: f"{word()} at the {word()} . {word()}", lambda: f"{some(3)}/{some(4)}/{some(4)}", lambda: f"{rng.randint(1, 9)}:{some(1)}:{some(1)}", lambda: f"page {some(4)}-{some(4)}", lambda: "::" + word()[:3], lambda: some(rng.randint(8, 15)), lambda: f"{word()} id {some(rng.randint(8, 15))}",
     ]
     parts, spans = [word()], []
     for _ in range(rng.randint(1, 3)):
         if rng.random() < 0.5:
             kind = rng.choice(KINDS)
-            if rng.random() < 0.6:
+            value = true[kind]()
+            if rng.random() < 0.6 or kind == "phone" and value.isdigit():  # a bare run of digits is a number only by its hint
                 parts.append(rng.choice(hint[kind]))
             at = len(" ".join(parts)) + 1
-            parts.append(true[kind]())
+            parts.append(value)
             spans.append((kind, at, at + len(parts[-1])))
             if kind == "card" and rng.random() < 0.3:  # next to another run of digits, which the base pattern rejects
                 at = len(" ".join(parts)) + 1
@@ -252,7 +260,7 @@ class Model:
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """The base spans, and the spans added, which overlap neither those nor one another."""
-        if not ANY.search(text) and not any(m in text for m in MARKS):
+        if not ANY.search(text) and not marked(text):
             return [], []
         base = base_spans(text)
         taken = sorted((a, b) for _, a, b in base)

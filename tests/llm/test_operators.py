@@ -144,6 +144,29 @@ def test_trees_on_unseen_sentences():
     assert right > 200 and wrong <= 0.02 * right and missed <= 0.05 * right
 
 
+def test_each_form_is_found_alone_in_a_document():
+    alone = ["jane at example (dot) com", "jane at example[dot]com", "jane at example dot com", "jane(at)example.com", "jane [at] example [dot] com", "jane\n(at)\nexample\n(dot)\ncom", "jane\tat\texample\tdot\tcom"]
+    for text, kind in [(t, "email") for t in alone] + [("555-123-4567", "phone"), ("5551234567", "phone"), ("(555) 123-4567", "phone")]:
+        assert (kind, 0, len(text)) in pii.candidates(text), text
+    for text in alone:
+        assert sum(pii.model().spans(text), []) == [("email", 0, len(text))], text
+    for text, start in (("call 5551234567", 5), ("call 555-123-4567", 5), ("please phone: 0171234567", 14)):
+        assert sum(pii.model().spans(text), []) == [("phone", start, len(text))], text
+    for text in ("5551234567", "order 5551234567", "id 5551234567 was"):
+        assert sum(pii.model().spans(text), []) == [], text
+
+
+def test_the_gate_never_hides_a_spelled_address():
+    rng, hits = random.Random(9), 0
+    gap = lambda: rng.choice(["", " ", "\n", "\t", "(", "[", " (", "( ", "\n[", "{\t", " { "])
+    shut = lambda: rng.choice(["", " ", "\n", "\t", ")", "]", " )", ") ", "\n]", "}\t", " } "])
+    for _ in range(20000):
+        text = f"a{gap()}{rng.choice(['at', 'AT', '@'])}{shut()}b{gap()}{rng.choice(['dot', 'DOT', '.'])}{shut()}c"
+        hits += (found := pii.SPELLED.search(text) is not None)
+        assert pii.marked(text) or not found, text
+    assert hits > 1000
+
+
 def plain_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
