@@ -32,8 +32,9 @@ def accuracy(df: DataFrame, truth: str = "ground_truth", predicted: str = "answe
 
 
 def accuracy_by(df: DataFrame, by: str, truth: str = "ground_truth", predicted: str = "answer") -> DataFrame:
-    """The same overall (null) and for each value of a column, in one rollup; rows whose value is null aren't told from overall and are left to it."""
-    rows = df.filter(F.col(by).isNotNull()).rollup(by).agg(F.count_if(F.col(truth).eqNullSafe(F.col(predicted))).alias("correct"), F.count("*").alias("total"))
+    """The same overall (null) and for each value of a column, in one rollup of all rows; those whose value is null count in the overall row and have none of their own."""
+    rows = df.rollup(by).agg(F.count_if(F.col(truth).eqNullSafe(F.col(predicted))).alias("correct"), F.count("*").alias("total"), F.grouping_id().alias("_level"))
+    rows = rows.filter((F.col("_level") == 1) | F.col(by).isNotNull()).drop("_level")
     return rows.withColumn("pct", 100.0 * F.col("correct") / F.col("total"))
 
 

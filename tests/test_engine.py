@@ -138,6 +138,12 @@ def test_metrics_of_no_rows_and_of_nulls(spark):
     assert [r["row_id"] for r in metrics.errors(df, "row_id").collect()] == [2]
 
 
+def test_rows_without_group_count_in_the_overall_accuracy(spark):
+    rows = [("clean", "1", "1"), ("clean", "2", "x"), (None, "3", "3"), (None, "4", "4"), (None, None, "x"), ("noisy", None, None)]
+    got = metrics.accuracy_by(spark.createDataFrame(rows, "level string, ground_truth string, answer string"), "level").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 4, 6, 100.0 * 4 / 6), ("clean", 1, 2, 50.0), ("noisy", 1, 1, 100.0)], key=str)
+
+
 def test_synthetic_data(spark):
     df = synth.dataset(spark, 1200)
     assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, synth.dataset(spark, 1200).collect()), key=str)
