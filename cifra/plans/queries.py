@@ -316,6 +316,12 @@ def spoken_pairs_of_plain_text(spark, sf_dir):
     return relational.spoken_pairs(plain, "text", "doc_id").select("doc_id", "ground_truth")
 
 
+@query("""SELECT min(doc_id) AS doc_id, ground_truth FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[\\s\\x1c-\\x1f\\x0b\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS ground_truth FROM documents)
+WHERE regexp_matches(ground_truth, '(^|[^0-9\\p{L}_])\\d{1,6}($|[^0-9\\p{L}_])') GROUP BY ground_truth""")
+def spoken_pairs_of_documents(spark, sf_dir):
+    return relational.spoken_pairs(read(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "ground_truth")
+
+
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' руб.' AS ground_truth, CAST(o_orderkey AS VARCHAR) || ' руб.' AS back FROM orders")
 def spoken_pairs(spark, sf_dir):
     df = read(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderkey", F.lit("  РУБ.")).alias("t"))

@@ -116,6 +116,15 @@ def test_number_pairs(spark):
     assert [r["sentence"] for r in relational.number_sentences(df, "t", "row_id").collect()] == ["купил 21 яблоко и 0 груш, 5 слив"]
 
 
+def test_spoken_pairs_of_whole_documents(spark, tmp_path):
+    rows = [(4, "Visit  21 shops,\n5 times"), (2, "visit 21 shops, 5 times"), (3, "no number"), (5, "x7 1234567 a_8"), (6, "(999999) end"), (7, None), (8, "é0 1 z")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["spoken_pairs_of_documents"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(2, "visit 21 shops, 5 times"), (6, "(999999) end"), (8, "é0 1 z")]
+    pairs = {r["doc_id"]: r["task_text"] for r in relational.spoken_pairs(spark.read.parquet(f"{tmp_path}/documents.parquet"), "text", "doc_id").collect()}
+    assert pairs[2] == "visit двадцать один shops, 5 times" and pairs[8] == "é0 один z"
+
+
 def test_pages(spark):
     html = "<html><nav>menu</nav><p>before</p><article><h1>Head</h1><script>x()</script> body <b>5</b> </article></html>"
     rows = spark.createDataFrame([(html,), ("<p>a<br>b</p>",), (None,)], "h string").select(text.html_text(F.col("h"))).collect()
