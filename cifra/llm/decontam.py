@@ -109,17 +109,20 @@ def occurrences(postings: list[np.ndarray], window: np.ndarray) -> np.ndarray:
     return found
 
 
-def near(postings: list[np.ndarray], window: np.ndarray, within: int) -> np.ndarray:
-    """Places of the rarest term around which every term of the window occurs at most `within` words away."""
+def near(postings: list[np.ndarray], window: np.ndarray, within: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Places of the rarest term around which every term of the window occurs at most `within` words away, in the same
+    document if starts has the first place of each document, and the end."""
     order = np.argsort([len(postings[t]) for t in window], kind="stable")
     found = postings[window[order[0]]].astype("<i8")
     for k in order[1:]:
         other = postings[window[k]].astype("<i8")
         if not len(found) or not len(other):
             return found[:0]
-        i = np.searchsorted(other, found)
-        gap = np.minimum(np.abs(other[np.minimum(i, len(other) - 1)] - found), np.abs(other[np.maximum(i - 1, 0)] - found))
-        found = found[gap <= within]
+        low, high = found - within, found + within
+        if starts is not None:
+            doc = np.searchsorted(starts, found, "right") - 1
+            low, high = np.maximum(low, starts[doc]), np.minimum(high, starts[doc + 1] - 1)
+        found = found[np.searchsorted(other, low) < np.searchsorted(other, high, "right")]
     return found
 
 
@@ -142,7 +145,7 @@ def search(rows: list[tuple], queries: Queries, within: int | None = None) -> tu
         alive = ((queries.windows < 0) | (sizes[queries.windows] > 0)).all(axis=1)
         for w in np.flatnonzero(alive).tolist():
             n = int(queries.sizes[w])
-            found = occurrences(postings, queries.windows[w, :n]) if within is None else near(postings, queries.windows[w, :n], within)
+            found = occurrences(postings, queries.windows[w, :n]) if within is None else near(postings, queries.windows[w, :n], within, starts)
             if not len(found):
                 continue
             n = n if within is None else 1

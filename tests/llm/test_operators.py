@@ -240,6 +240,25 @@ def test_proximity():
     assert decontam.near(postings, np.array([0, 1, 2]), 5).tolist() == [0]
 
 
+def test_proximity_ends_at_the_bounds_of_a_document(spark):
+    rng = random.Random(31)
+    some = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    texts, items = [some(rng.randint(0, 6)) for _ in range(80)], [some(3) for _ in range(6)]
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in decontam.contamination(docs(spark, rows).coalesce(1), table, within=2).collect()}
+    everything = [w for t in texts for w in t]
+    for d, t in enumerate(texts):
+        hit, ids = set(), set()
+        for i, item in enumerate(items):
+            rarest = min(item, key=everything.count)
+            places = [p for p, w in enumerate(t) if w == rarest and all(x in t[max(0, p - 2) : p + 3] for x in item)]
+            hit.update(places)
+            ids |= {str(i)} if places else set()
+        assert got[d] == (len(hit), sorted(ids)), (d, t)
+    assert sum(n for n, _ in got.values()) > 10
+
+
 def test_classifier_holds_out_and_ranks(spark):
     rng = random.Random(5)
     good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)) + "."
