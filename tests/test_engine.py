@@ -153,6 +153,13 @@ def test_rows_without_group_count_in_the_overall_accuracy(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, 4, 6, 100.0 * 4 / 6), ("clean", 1, 2, 50.0), ("noisy", 1, 1, 100.0)], key=str)
 
 
+def test_accuracy_by_length_has_all_buckets(spark, tmp_path):
+    rows = [(2, "x" * 20), (3, "x" * 20), (4, "x" * 21), (5, "x" * 40), (6, "x" * 41), (8, "x" * 900)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["length_buckets_of_documents"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("1-20", 2, 1), ("21-40", 2, 1), ("41+", 2, 2)]
+
+
 def test_synthetic_data(spark):
     df = synth.dataset(spark, 1200)
     assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, synth.dataset(spark, 1200).collect()), key=str)
