@@ -2,10 +2,12 @@
 
 A source's target is its share of all sizes, by weight; no source gives more than `most` times its own size, and what
 it can't give is shared out again by weight. Of a source, whole passes over all documents come first. For the remaining
-budget the documents are counted by exact length. Each length gives its proportional number of documents, rounded down,
-and what is then missing is filled exactly, or as nearly as the lengths allow, by bounded-knapsack dynamic programming
-over the documents left, and over further passes of them where these don't suffice. Which documents of a length are
-taken follows from a seeded hash of their ids and texts.
+budget the documents are counted by exact length. Each length gives its proportional number of documents, its fraction
+being the seeded chance of one more; what rounding adds or leaves in words is carried on to the next shorter length, so
+that documents of all lengths have the same share. What is then missing, less than a document, is filled exactly, or as
+nearly as the lengths allow, by bounded-knapsack dynamic programming over the documents left and a few seeded ones that
+are put back for it; and over further passes where these don't suffice. Which documents of a length are taken follows
+from a seeded hash of their ids and texts.
 
 Only counts by source and length are brought together, one row a length. The choice within a length is a rank, counted
 in slices of the hash, so that no length that very many documents have is sorted in one task.
@@ -13,18 +15,20 @@ in slices of the hash, so that no length that very many documents have is sorted
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cifra.llm.common import WORD, settled
+from cifra.llm.common import WORD, row_hash, settled
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 11
-#: What the program fills exactly; a larger remainder is first filled from the longest documents down.
-EXACT = 1 << 16
+#: Documents, and their words, that are put back at most, so that the program has something to exchange.
+PUT_BACK, PUT_BACK_WORDS = 64, 1 << 16
 #: Documents of one length and slice of the hash that are ranked together.
 SLICE = 1000
 
@@ -48,15 +52,18 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 
 
 def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
-    """Of each length how many documents, at most left, to come as near to budget as can be without exceeding it."""
-    pieces = []  # (length index, documents): 1, 2, 4, ... and a rest make every number up to left
+    """Of each length how many documents, at most left, to come as near to budget as can be without exceeding it.
+    Lengths that stand first are used first."""
+    pieces, total = [], 0  # (length index, documents): 1, 2, 4, ... and a rest make every number up to left
     for i, (size, count) in enumerate(zip(lengths.tolist(), left.tolist(), strict=True)):
         count, k = min(count, budget // size) if size else 0, 1
+        total += size * count
         while count > 0:
             pieces.append((i, min(k, count)))
             count -= k
             k *= 2
-    by = np.full(budget + 1, -1)  # the piece with which a sum was first reached
+    budget = min(budget, total)
+    by = np.full(budget + 1, -1, "<i4")  # the piece with which a sum was first reached
     by[0] = len(pieces)
     for p, (i, k) in enumerate(pieces):
         step = int(lengths[i]) * k
@@ -72,26 +79,59 @@ def knapsack(lengths: np.ndarray, left: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, again: int = 0) -> np.ndarray:
-    """Of each length how many documents to take so that the sizes add up to about budget. Only where that can't be
+def diffused(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Generator) -> np.ndarray:
+    """Of each length its share of documents, for at most budget words together. From the longest down, what a length
+    gives less or more than its share, in words, is added to the share of the next."""
+    taken, total, chance = np.zeros(len(lengths), "<i8"), int((lengths * counts).sum()), rng.random(len(lengths))
+    carry, rest, share = 0.0, budget, min(1.0, budget / total) if total else 0.0
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size, count = int(lengths[i]), int(counts[i])
+        if size and count:
+            due = count * share + carry / size
+            taken[i] = n = max(0, min(int(np.floor(due + chance[i])), count, rest // size))
+            carry, rest = (due - n) * size, rest - n * size
+    return taken
+
+
+def longest_first(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Of each length as many documents as still fit; what is left over is shorter than any document left."""
+    taken = np.zeros(len(lengths), "<i8")
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        if lengths[i]:
+            taken[i] = n = min(int(counts[i]), budget // int(lengths[i]))
+            budget -= n * int(lengths[i])
+    return taken
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, again: int = 0, seed: int = SEED) -> np.ndarray:
+    """Of each length how many documents to take so that the sizes add up to budget, or nearly. Only where that can't be
     filled otherwise, documents are taken a second time or more, up to `again` times."""
-    total = int((lengths * counts).sum())
-    if not total or budget <= 0:
-        return np.zeros(len(lengths), "<i8")
-    sizes, left = np.r_[lengths, lengths], np.r_[counts, counts * again]
-    taken = np.r_[(counts.astype(object) * budget // total).astype("<i8"), np.zeros(len(counts), "<i8")]
-    rest = budget - int((sizes * taken).sum())
-    for i in np.lexsort((-sizes, np.arange(len(sizes)) >= len(lengths))):
-        if rest <= EXACT:
+    rng, lengths = np.random.default_rng(seed), lengths.astype("<i8")
+    taken, most = np.zeros(len(lengths), "<i8"), np.zeros(len(lengths), "<i8")
+    for passes in (1, again):
+        rest = budget - int((lengths * taken).sum())
+        if rest <= 0 or not passes:
             break
-        more = min(int(left[i] - taken[i]), (rest - EXACT // 2) // max(1, int(sizes[i])))
-        if more > 0:
-            taken[i] += more
-            rest -= more * int(sizes[i])
-    small = np.flatnonzero((sizes > 0) & (sizes <= rest) & (left > taken))
-    if rest and len(small):
-        taken[small] += knapsack(sizes[small], left[small] - taken[small], rest)
-    return taken[: len(lengths)] + taken[len(lengths) :]
+        most += counts * passes
+        taken += diffused(lengths, most - taken, rest, rng)
+        taken += longest_first(lengths, most - taken, budget - int((lengths * taken).sum()))
+        back, words = np.zeros(len(lengths), "<i8"), 0
+        order = rng.permutation(len(lengths))
+        while back.sum() < PUT_BACK:
+            some = [i for i in order.tolist() if lengths[i] and back[i] < taken[i] and words + lengths[i] <= PUT_BACK_WORDS][: PUT_BACK - int(back.sum())]
+            for i in some:
+                if words + lengths[i] <= PUT_BACK_WORDS:
+                    back[i] += 1
+                    words += int(lengths[i])
+            if not some:
+                break
+        taken -= back
+        # Those put back come first, so that of others only as many come in as the exchange needs.
+        pieces = np.r_[order, order]
+        limit = np.r_[back[order], (most - taken - back)[order]]
+        picked = knapsack(lengths[pieces], limit, budget - int((lengths * taken).sum()))
+        np.add.at(taken, pieces, picked)
+    return taken
 
 
 def pick_of(seed: int) -> Column:
@@ -108,12 +148,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     difference in the result's rows. A source of size 0 has target 0. An empty table gives an empty result. The driver
     holds one row a source, a task the lengths of one source.
     """
-    return picked(docs, weights, most, seed).drop("pick")
+    return picked(docs, weights, most, seed).drop("pick", "row")
 
 
 def picked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
-    """The rows of mix(), with the hash that tells them apart in pick."""
-    sized = settled(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size"), pick_of(seed).alias("pick")))
+    """The rows of mix(), with the hash by which they are chosen in pick, and one of all their columns in row."""
+    sized = settled(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size"), pick_of(seed).alias("pick"), row_hash(docs.columns).alias("row")))
     of_source = [(r["source"], r["n"] or 0) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     aims = targets(of_source, weights, most)
     spark = docs.sparkSession
@@ -124,7 +164,7 @@ def picked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> D
         pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
         own, aim = int(pdf["source_size"].iloc[0]), pdf["target"].iloc[0]
         passes = min(int(aim // own), most) if own else 0
-        more = fit(pdf["size"].to_numpy("<i8"), pdf["count"].to_numpy("<i8"), int(round(aim)) - passes * own if passes < most else 0, most - passes - 1)
+        more = fit(pdf["size"].to_numpy("<i8"), pdf["count"].to_numpy("<i8"), int(round(aim)) - passes * own if passes < most else 0, most - passes - 1, zlib.crc32(str(pdf["source"].iloc[0]).encode()) ^ seed)
         return pdf.assign(passes=passes, more=more)
 
     fits = settled(counts.join(plan, counts["source"].eqNullSafe(plan["source"])).select(counts["source"], "size", "count", "source_size", "target").groupBy("source").applyInPandas(fitted, "source string, size long, count long, source_size long, target double, passes int, more long"))
@@ -138,19 +178,20 @@ def picked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> D
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")) & (F.col("slice") == F.col("k")))
     each = F.floor(F.col("more") / F.col("count"))  # of a length taken more often than it has documents, first once each
     copies = (F.col("passes") + each + F.when(F.col("before") + F.col("rank") <= F.col("more") - each * F.col("count"), 1).otherwise(0)).cast("int")
-    return placed.select("pick", "doc_id", "source", "size", "source_size", "target", copies.alias("passes"), (F.col("size") * copies).alias("taken"))
+    return placed.select("pick", "row", "doc_id", "source", "size", "source_size", "target", copies.alias("passes"), (F.col("size") * copies).alias("taken"))
 
 
 def stage(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix: documents taken at least once, with their columns, how often (passes), size, source_size, target, taken.
 
-    Rows equal in id, text and source can't be told apart; all are taken as often as the most taken of them. Columns of
-    docs named like an added one are replaced.
+    Rows equal in every column can't be told apart; one row stands for them, with their passes and taken words added up.
+    Columns of docs named like an added one are replaced.
     """
-    key = ["pick", "doc_id", "source"]
-    mixed = picked(docs, weights, most, seed).filter("passes > 0").groupBy(*key, "size", "source_size", "target").agg(F.max("passes").alias("passes"), F.max("taken").alias("taken"))
-    added = [c for c in mixed.columns if c not in key]
-    mixed = mixed.withColumnsRenamed({c: f"_{c}" for c in key})
-    own = docs.drop(*added)
-    same = (pick_of(seed) == F.col("_pick")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    return own.join(mixed, same).select(*[own[c] for c in own.columns], *added)
+    key = ["row", "doc_id", "source"]
+    mixed = picked(docs, weights, most, seed).groupBy(*key, "size", "source_size", "target").agg(F.sum("passes").cast("int").alias("passes"), F.sum("taken").alias("taken"), F.count("*").alias("_rows"))
+    mixed = settled(mixed.filter("passes > 0").withColumnsRenamed({c: f"_{c}" for c in key}))
+    own = docs.withColumn("_hash", row_hash(docs.columns)).drop("size", "source_size", "target", "passes", "taken")
+    same = (F.col("_hash") == F.col("_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    chosen = lambda some: own.join(some, same).drop("_hash", "_row", "_doc_id", "_source", "_rows")
+    out, alike = chosen(mixed.filter("_rows = 1")), mixed.filter("_rows > 1")
+    return out if alike.isEmpty() else out.unionByName(chosen(alike).dropDuplicates())
