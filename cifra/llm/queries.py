@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.preferences(chat_format.neighbours(table(spark, sf_dir, "conversations")))
+    return chat_format.formatted(chat_format.other_replies(chat_format.gathered(chat_format.neighbours(table(spark, sf_dir, "conversations")))))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "near_ids")
 
 
 def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,21 @@ WITH turns AS (
   SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, coalesce(conv_id % 2 = 0, true) AS is_chosen, conv_id,
     {'turn': turn, 'role': role, 'text': text} AS t, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone
   FROM conversations),
-pairs AS (
-  SELECT pair_id, min(conv_id) FILTER (is_chosen) AS chosen_id, min(conv_id) FILTER (NOT is_chosen) AS rejected_id,
+gathered AS (
+  SELECT min(conv_id) FILTER (is_chosen) AS c_id, min(conv_id) FILTER (NOT is_chosen) AS r_id,
     coalesce(list(t ORDER BY t.turn NULLS FIRST, t.role NULLS FIRST, t.text NULLS FIRST) FILTER (is_chosen), []) AS c,
     coalesce(list(t ORDER BY t.turn NULLS FIRST, t.role NULLS FIRST, t.text NULLS FIRST) FILTER (NOT is_chosen), []) AS r
   FROM turns GROUP BY pair_id, lone),
+sided AS (
+  SELECT c_id AS pair_id, r_id AS rejected_id, c, r AS other FROM gathered UNION ALL SELECT r_id, c_id, r, c FROM gathered),
+replies AS (
+  SELECT *, coalesce(list_max(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant')), 0) AS own_last,
+    list_max(list_filter(range(1, len(other) + 1), lambda i: other[i].role = 'assistant')) AS other_last
+  FROM sided WHERE len(c) > 0),
+pairs AS (
+  SELECT pair_id, pair_id AS chosen_id, rejected_id, c, list_transform(range(1, len(c) + 1), lambda i: {'turn': c[i].turn, 'role': c[i].role,
+    'text': CASE WHEN i <> own_last THEN c[i].text WHEN other_last IS NULL THEN '' ELSE other[other_last].text END}) AS r
+  FROM replies),
 cut AS (
   SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(c), len(r)) + 1), lambda i: i <= len(c) AND i <= len(r)
       AND c[i].role IS NOT DISTINCT FROM r[i].role AND c[i].text IS NOT DISTINCT FROM r[i].text), false) - 1,
@@ -151,10 +161,18 @@ sizes AS (SELECT DISTINCT size FROM item_windows),
 doc_places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size),
 found AS (SELECT doc_id, item_id, k, size FROM (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS s FROM doc_places) JOIN item_windows USING (size, s)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM found) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+flat AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
+counts AS (SELECT term, count(*) AS n FROM flat GROUP BY term),
+window_terms AS (SELECT DISTINCT item_id, k, unnest(w[k:k + size - 1]) AS term FROM item_places),
+anchors AS (SELECT item_id, k, count(*) AS n_terms, min((coalesce(n, 0), term)) AS rarest FROM window_terms LEFT JOIN counts USING (term) GROUP BY item_id, k),
+places AS (SELECT item_id, k, n_terms, doc_id, pos FROM anchors JOIN flat ON flat.term = rarest[2]),
+near AS (SELECT item_id, p.doc_id FROM places p JOIN window_terms t USING (item_id, k) JOIN flat f ON f.doc_id = p.doc_id AND f.term = t.term AND f.pos BETWEEN p.pos - 26 AND p.pos + 26
+  GROUP BY item_id, k, p.doc_id, p.pos, n_terms HAVING count(DISTINCT f.term) = n_terms),
+near_items AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near_ids FROM (SELECT DISTINCT doc_id, item_id FROM near) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 
