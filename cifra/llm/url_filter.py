@@ -3,10 +3,12 @@
 A rule is a literal or a regular expression over host and path. Each has literal tokens, runs of letters and digits that
 must stand whole in every URL it matches. The rule is indexed by the one of them that the fewest URLs of the corpus
 have. The tokens of a URL fetch candidate rules from that index, and only the candidates' regular expressions run. Rules
-without any whole token are candidates for every URL. Of the rules that match, the longest wins.
+without any whole token have no key; they are a constant array whose expressions run on every URL. Of the rules that
+match, the longest wins.
 
 Everything is DataFrame expressions and joins. Each distinct URL is judged once, so a URL that many rows have costs one
-lookup, and html is never read.
+lookup, and html is never read. Rows without a URL pass the joins by. The verdicts are settled before they go back to
+the rows, so that this join deals out both sides itself and can split a URL that very many rows have.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cifra.llm.common import ascii_lower
+from cifra.llm.common import ascii_lower, settled
 
 TOKEN = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: Rules up to this many characters are sent to every task; more are joined by token like any other table.
@@ -81,10 +83,17 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(ascii_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    rows = [{"rule_no": i, "rule": r.name, "verdict": r.verdict, "pattern": r.pattern, "tokens": list(dict.fromkeys(r.tokens))} for i, r in enumerate(rules)]
-    fields = "array<struct<rule_no:int,rule:string,verdict:string,pattern:string,tokens:array<string>>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), fields)))
+def rule_array(rules: dict[int, Rule]) -> Column:
+    """The rules by their numbers, as a constant array."""
+    rows = [{"rule_no": i, "rule": r.name, "verdict": r.verdict, "pattern": r.pattern, "tokens": list(dict.fromkeys(r.tokens))} for i, r in rules.items()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_no:int,rule:string,verdict:string,pattern:string,tokens:array<string>>>")
+
+
+def ranked(rule: Column) -> Column:
+    """rank, rule and verdict of a rule: named ones before patterns, then by length, longer host, block, number."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    rank = F.struct(rule["rule"].isNotNull().alias("named"), size(rule["rule"]).alias("size"), size(F.substring_index(rule["rule"], "/", 1)).alias("host_size"), (rule["verdict"] == "block").alias("blocks"), (-rule["rule_no"]).alias("no"))
+    return F.struct(rank.alias("rank"), rule["rule"].alias("rule"), rule["verdict"].alias("verdict"))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, patterns: tuple[Rule, ...] = PATTERNS, otherwise: str = "allow") -> DataFrame:
@@ -95,22 +104,27 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, patterns: tuple[Ru
     the one with the longer host wins, then block. Named rules come before patterns. An empty table gives an empty result.
     """
     spark = pages.sparkSession
-    every = tuple(rules) + tuple(patterns)
-    table = rule_table(spark, every)
-    small = sum(len(r.pattern) for r in every) <= SENT_CHARS
+    every = dict(enumerate(tuple(rules) + tuple(patterns)))
+    table = spark.range(1).select(F.explode(rule_array({i: r for i, r in every.items() if r.tokens})).alias("own")).select("own.rule_no", "own.tokens", "own")
+    everywhere = rule_array({i: r for i, r in every.items() if not r.tokens})
+    small = sum(len(r.pattern) for r in every.values()) <= SENT_CHARS
     send = F.broadcast if small else (lambda df: df)
     split = pages.select(F.col("page_id").cast("long"), *[c.alias(n) for c, n in zip(parts(F.col("url").cast("string")), ("host", "path"), strict=True)])
-    urls = split.filter("host <> '' or path <> ''").groupBy("host", "path").agg(F.count("*").alias("rows"))
+    urls = split.filter("host <> '' or path <> ''").select("host", "path").distinct()
     tokens = F.array_distinct(F.regexp_extract_all(F.concat("host", ascii_lower(F.col("path"))), F.lit(TOKEN), F.lit(0)))
-    tokened = urls.select("host", "path", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("token"))
+    tokened = urls.select("host", "path", F.explode(tokens).alias("token"))
     # The literal tokens of the rules, by how many URLs have them; the rarest one of each rule is its index key.
     literal = table.select("rule_no", F.explode("tokens").alias("token"))
     seen = tokened.join(send(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = literal.join(seen, "token", "left").groupBy("rule_no").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    index = table.join(rarest, "rule_no", "left").withColumn("token", F.coalesce("token", F.lit("")))
-    index = index.withColumn("rank", F.struct(F.col("rule").isNotNull().alias("named"), F.coalesce(F.length("rule"), F.lit(0)).alias("size"), F.coalesce(F.length(F.substring_index("rule", "/", 1)), F.lit(0)).alias("host_size"), (F.col("verdict") == "block").alias("blocks"), (-F.col("rule_no")).alias("no")))
-    matched = tokened.join(send(index.drop("tokens")), "token").filter(F.expr("rlike(concat(host, path), pattern)"))
-    best = matched.groupBy("host", "path").agg(F.max(F.struct("rank", "rule", "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best")
-    out = split.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    index = table.join(rarest, "rule_no").select("token", "own")
+    matched = tokened.join(send(index), "token").filter(F.expr("rlike(concat(host, path), own.pattern)"))
+    found = matched.select("host", "path", ranked(F.col("own")).alias("found"))
+    if not all(r.tokens for r in every.values()):
+        fits = F.filter(everywhere, lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))
+        found = found.unionByName(urls.select("host", "path", F.explode(F.transform(fits, ranked)).alias("found")))
+    best = settled(found.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max("found").alias("best")))
+    known = split.filter("host <> '' or path <> ''").join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    out = known.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    none = split.filter("host = '' and path = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    return out.unionByName(none)
