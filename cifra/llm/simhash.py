@@ -171,7 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: of each node in edges (a > b), the smallest node it is connected with.
 
     Large stars hang each larger neighbour on a node's smallest one, small stars each smaller one, until nothing moves.
-    Stars are pre-aggregated before they meet, and the joins back are ones that can be split when a star is large.
+    Stars are pre-aggregated before they meet. What they meet with is settled, so that the joins deal out both sides
+    themselves and can split a node on which very many hang.
     """
 
     def state(e: DataFrame):
@@ -181,9 +182,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = settled(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = settled(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = settled(small)
         after = state(edges)
