@@ -2,12 +2,16 @@
 
 A line with words fails when it is
 * symbols: a word in five or more ends in, or is, one of the symbols #*$%&|<> or has two exclamation marks after it;
-* navigation: three or more short parts between bars or arrows, or a line that is a known navigation phrase;
+* navigation: three or more short parts between bars or arrows, a line that is a known navigation phrase, or one of
+  three or more unfinished lines of few words in a row, as menus are;
+* punctuation: a line as long as a sentence that neither ends like one, in a mark or a closing quote or bracket, nor
+  holds the end of one;
 * boilerplate: a known phrase of licences, cookie notices and sign-up prompts, in a short line;
 * repeated: a sequence of `run` words of it occurs more than once in the line and covers over half of it;
 * copied: an earlier line of the document has the same words, and the line is long enough to matter.
-Punctuation alone is no reason: a short line without a full stop may be a heading. A document is kept if the lines left
-hold at least `least_left` of its words' bytes, unless a base rule fails (see measures()).
+A short line without a full stop that stands alone may be a heading and stays. The phrases are those of four languages
+(en, fr, de, es), the other rules know no language. A document is kept if the lines left hold at least `least_left` of
+its words' bytes, unless a base rule fails (see measures()).
 """
 
 from __future__ import annotations
@@ -25,8 +29,28 @@ from cifra.llm.common import short_batches
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-NAVIGATION = frozenset((b"home", b"menu", b"search", b"login", b"log in", b"signin", b"sign in", b"signup", b"sign up", b"next", b"previous", b"back to top", b"skip to content", b"read more", b"share", b"print"))
-BOILERPLATE = (b"all rights reserved", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service", b"subscribe to our newsletter", b"javascript is disabled", b"javascript is required", b"accept cookies", b"accept all cookies", b"this site uses cookies")
+# Phrases of navigation and boilerplate, lower-cased, in en, fr, de, es.
+NAVIGATION = frozenset(
+    phrase.encode()
+    for phrase in (
+        "home", "menu", "search", "login", "log in", "signin", "sign in", "signup", "sign up", "next", "previous", "back to top", "skip to content", "read more", "share", "print", "related articles",
+        "accueil", "recherche", "rechercher", "connexion", "se connecter", "suivant", "précédent", "haut de page", "lire la suite", "partager", "imprimer", "articles liés",
+        "startseite", "menü", "suche", "anmelden", "registrieren", "weiter", "zurück", "nach oben", "zum inhalt", "weiterlesen", "teilen", "drucken", "ähnliche artikel",
+        "inicio", "menú", "buscar", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver arriba", "ir al contenido", "leer más", "compartir", "imprimir", "artículos relacionados",
+    )
+)
+BOILERPLATE = tuple(
+    phrase.encode()
+    for phrase in (
+        "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "subscribe to our newsletter", "javascript is disabled", "javascript is required", "accept cookies", "accept all cookies", "this site uses cookies",
+        "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "abonnez-vous à notre", "accepter les cookies", "ce site utilise des cookies",
+        "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "abonnieren sie unseren", "cookies akzeptieren", "diese website verwendet cookies",
+        "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "suscríbete a nuestro", "aceptar cookies", "este sitio utiliza cookies",
+    )
+)
+#: What a sentence ends in, and a finished line: such a mark, or a closing quote or bracket.
+MARKS = tuple(mark.encode() for mark in (".", "!", "?", "…", "。", "！", "？"))
+ENDS = (*MARKS, *(mark.encode() for mark in (":", ";", '"', "'", "”", "’", "»", "“", ")", "]")))
 NOISY = re.compile(rb"[#*$%&|<>!]")
 NOISY_WORD = re.compile(rb"(?:[#*$%&|<>]|!!)(?![^\x20\x09-\x0D])")
 SEPARATORS = tuple(c.encode() for c in "|>»›•·")
@@ -39,6 +63,8 @@ class Rules:
 
     noisy_share: float = 0.2
     least_parts: int = 3
+    menu_words: int = 3
+    sentence_words: int = 8
     boilerplate_words: int = 25
     run: int = 4
     repeated_share: float = 0.5
@@ -85,13 +111,15 @@ def in_any(line: bytes, phrases: tuple[bytes, ...]) -> bool:
 
 
 def fails(words: list[bytes], line: bytes, rules: Rules) -> str | None:
-    """The first rule a line with words fails."""
+    """The first rule a line with words fails on its own."""
     n = len(words)
     if NOISY.search(line) and len(NOISY_WORD.findall(line)) >= max(1, rules.noisy_share * n):
         return "symbols"
-    if n <= 3 and b" ".join(words).lower().rstrip(b" .!>") in NAVIGATION or n < 8 * rules.least_parts and in_any(line, SEPARATORS) and len(BARS.split(line)) >= rules.least_parts:
+    if n <= 3 and lowered(b" ".join(words)).rstrip(b" .!>") in NAVIGATION or n < 8 * rules.least_parts and in_any(line, SEPARATORS) and len(BARS.split(line)) >= rules.least_parts:
         return "navigation"
-    if 2 <= n <= rules.boilerplate_words and in_any(line.lower(), BOILERPLATE):
+    if n >= rules.sentence_words and not words[-1].endswith(ENDS) and not any(w.endswith(MARKS) for w in words):
+        return "punctuation"
+    if 2 <= n <= rules.boilerplate_words and in_any(lowered(line), BOILERPLATE):
         return "boilerplate"
     # Words in repeats occur twice, so a line of which over a share is in repeats has fewer different words.
     if n >= 2 * rules.run and len(set(words)) <= (1 - rules.repeated_share / 2) * n and in_repeats(word_numbers(words), rules.run) > rules.repeated_share * n:
@@ -99,16 +127,36 @@ def fails(words: list[bytes], line: bytes, rules: Rules) -> str | None:
     return None
 
 
+def lowered(line: bytes) -> bytes:
+    return line.lower() if line.isascii() else line.decode("utf-8", "replace").lower().encode()
+
+
+def in_menus(lines: list[list[bytes]], rules: Rules) -> set[int]:
+    """Places of lines (their words) that stand in a run of unfinished lines of few words; lines without words between
+    them don't count."""
+    out, run = set(), []
+    for i, words in enumerate([*lines, [b"."]]):
+        if words and len(words) <= rules.menu_words and not words[-1].endswith(ENDS):
+            run.append(i)
+        elif words:
+            if len(run) >= rules.least_parts:
+                out.update(run)
+            run = []
+    return out
+
+
 def cleaned(data: bytes, rules: Rules) -> tuple[bytes, int, int]:
     """The text without failing lines, its word bytes before and after."""
     kept, before, after, seen = [], 0, 0, set()
-    for line in data.split(b"\n"):
-        words = line.split()
+    lines = data.split(b"\n")
+    split = [line.split() for line in lines]
+    menus = in_menus(split, rules)
+    for i, (line, words) in enumerate(zip(lines, split, strict=True)):
         key = b" ".join(words)
         size = len(key) - len(words) + 1 if words else 0
         before += size
         if words:
-            if len(words) >= rules.copied_words and key in seen or fails(words, line, rules):
+            if i in menus or len(words) >= rules.copied_words and key in seen or fails(words, line, rules):
                 continue
             seen.add(key)
         kept.append(line)
@@ -162,7 +210,11 @@ def judged(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True) -> D
 
 
 def stage(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents kept, with their cleaned text and its length in n_chars, and the columns of docs."""
+    """The documents kept, with their cleaned text and its length in n_chars, and the columns of docs.
+
+    Each row is judged on its own, as in judged(): rows that repeat an id or have none stay or go by their own text, a
+    null or empty text goes, and an empty table gives an empty result.
+    """
     out = judged(docs, rules).filter("kept").withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
