@@ -37,7 +37,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-ANY = re.compile(r"[0-9@]")
+ANY = re.compile(r"[0-9@:]")
 
 
 def luhn(digits: str) -> bool:
@@ -71,12 +71,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 #: Groups of digits with the separators that phone and card numbers are written with.
-GROUPS = re.compile(r"\(?[0-9]+\)?(?:[ .\-/]{1,2}\(?[0-9]+\)?|\([0-9]+\)|(?<=\))[0-9]+)*")
+GROUPS = re.compile(r"\(?[0-9]+\)?(?:(?: ?[.\-/–] ?| {1,2})\(?[0-9]+\)?|\([0-9]+\)|(?<=\))[0-9]+)*")
 GROUP = re.compile(r"[0-9]+")
 COLONS = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(?![0-9A-Za-z:])")
-OPEN, CLOSE, NAME = r"\s?[\[({]\s?", r"\s?[\])}]\s?", r"[A-Za-z0-9-]{1,63}"
+OPEN, CLOSE, NAME = r"\s?[\[({]\s?", r"\s?[\])}]\s?", r"[A-Za-z0-9-]++"
 SPELLED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{OPEN}(?:at|AT|@){CLOSE}{NAME}(?:(?:{OPEN}(?:dot|DOT|\.){CLOSE}|\s(?:dot|DOT)\s|\.){NAME}){{1,4}}|\s(?:at|AT)\s{NAME}(?:(?:{OPEN}(?:dot|DOT){CLOSE}|\s(?:dot|DOT)\s){NAME}){{1,4}})"
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{OPEN}(?:at|AT|@){CLOSE}{NAME}(?:(?:{OPEN}(?:dot|DOT|\.){CLOSE}|\s(?:dot|DOT)\s|\.){NAME})+|\s(?:at|AT)\s{NAME}(?:(?:{OPEN}(?:dot|DOT){CLOSE}|\s(?:dot|DOT)\s){NAME})+)"
 )
 #: Every match of SPELLED holds one of these: a bracketed at, or after a plain one a dot word with a bracket or space behind.
 AT_MARK = re.compile(rf"[\[({{]\s?(?:at|AT|@)\s?[\])}}]")
@@ -106,18 +106,18 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                     if 8 <= total <= 15:
                         start = a - 1 if a and text[a - 1] == "(" else a
                         out.append(("phone", start, groups[j][1]))
-        if ":" in text:
-            out += [("ip", *m.span()) for m in COLONS.finditer(text)]
+    if ":" in text:
+        out += [("ip", *m.span()) for m in COLONS.finditer(text) if "::" in m.group() or m.group().count(":") == 7]
     if marked(text):
         out += [("email", *m.span()) for m in SPELLED.finditer(text)]
     return out
 
 
 HINTS = {
-    "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write|reach)\b"),
+    "email": re.compile(r"(?i)\b(e-?mail|mail|contact|write|reach|courriel|écrivez|schreiben|kontakt|correo|escriba)\b"),
     "ip": re.compile(r"(?i)\b(ip|ipv6|host|server|address|ping|client)\b"),
-    "card": re.compile(r"(?i)\b(card|visa|credit|debit|payment|pay|mastercard)\b"),
-    "phone": re.compile(r"(?i)\b(phone|tel|call|mobile|cell|fax|ring|dial)\b"),
+    "card": re.compile(r"(?i)\b(card|visa|credit|debit|payment|pay|mastercard|carte|karte|kreditkarte|tarjeta)\b"),
+    "phone": re.compile(r"(?i)\b(phone|tel|call|mobile|cell|fax|ring|dial|téléphone|appelez|portable|telefon|handy|rufen|teléfono|móvil|llame)\b"),
 }
 OTHER = re.compile(r"(?i)\b(order|invoice|version|isbn|id|no|ticket|article|serial|token|hash|page|date|item|ref)\b")
 FEATURES = 22
@@ -150,15 +150,15 @@ def invented(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 
     def phone() -> str:
         a, b, c = some(3), some(3), some(4)
-        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{some(2)} {a} {b} {c}", f"0{a} {b}{c}", f"{a} {b} {c}", a + b + c, some(rng.randint(8, 15))])
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{some(2)} {a} {b} {c}", f"0{a} {b}{c}", f"{a} {b} {c}", f"{a} {b} {some(3)}", "0" + some(1) + "".join(f" {some(2)}" for _ in range(4)), f"0{a} / {b}{c}", f"0{a}/{b}{c}", f"{a} - {b} - {c}", a + b + c, some(rng.randint(8, 15))])
 
     def spelled() -> str:
         at, dot = rng.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" at ", " dot "), (" at ", " (dot) "), (" at ", "[dot]"), ("\n(at)\n", "\n(dot)\n"), ("\tat\t", "\tdot\t")])
         return f"{word()}.{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
 
-    colons = lambda: rng.choice([":".join(f"{rng.getrandbits(16):x}" for _ in range(8)), f"2001:db8::{rng.getrandbits(16):x}:{rng.getrandbits(12):x}", f"fe80::{rng.getrandbits(16):x}:{rng.getrandbits(16):x}"])
+    colons = lambda: rng.choice([":".join(f"{rng.getrandbits(16):x}" for _ in range(8)), f"2001:db8::{rng.getrandbits(16):x}:{rng.getrandbits(12):x}", f"dead:beef::{rng.choice(['cafe', 'feed', 'babe'])}", f"fe80::{rng.getrandbits(16):x}:{rng.getrandbits(16):x}"])
     true = {"card": card, "phone": phone, "email": spelled, "ip": colons}
-    hint = {"card": ["card", "visa", "payment by card", "pay with"], "phone": ["call", "tel", "phone:", "mobile", "fax"], "email": ["mail", "contact", "write to", "email:"], "ip": ["host", "from ip", "server", "address"]}
+    hint = {"card": ["card", "visa", "payment by card", "pay with"], "phone": ["call", "tel", "phone:", "mobile", "fax", "téléphone", "appelez le", "telefon", "teléfono", "llame al"], "email": ["mail", "contact", "write to", "email:"], "ip": ["host", "from ip", "server", "address"]}
     fakes = [
         lambda: f"order {some(rng.randint(8, 16))}", lambda: f"version {some(1)}.{some(1)}.{some(2)}", lambda: f"{some(4)}-{rng.randint(10, 12)}-{some(2)}", lambda: f"isbn {some(3)}-{some(1)}-{some(5)}-{some(3)}-{some(1)}",
         lambda: f"{rng.randint(0, 23):02}:{some(2)}:{some(2)}", lambda: f"{some(3)} {some(3)} {some(3)}", lambda: f"{some(13)}", lambda: f"{some(16)}", lambda: f"{some(2)}.{some(2)}.{some(4)}", lambda: f"{some(1)}.{some(8)}",
@@ -333,7 +333,11 @@ def found(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with every span found replaced by its kind, and the length in n_chars where there is such a column."""
+    """docs with every span found replaced by its kind, and the length in n_chars where there is such a column.
+
+    Rows are searched one by one, whether or not ids repeat or are null; a null text stays null, and an empty table gives
+    an empty result.
+    """
     short_batches(docs.sparkSession)
     sent, names, at = docs.sparkSession.sparkContext.broadcast(model()), docs.columns, docs.columns.index("text")
 
