@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import tempfile
 from collections.abc import Iterable
@@ -28,14 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage by a reliable checkpoint in the cluster's shared folder.
+    """df cut off from its lineage by a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one machine) a folder is made.
-    """
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, spark.checkpoint.dir. Where none is set, one is made if all runs in one process
+    (as in tests); on a cluster a folder of the driver's machine would lose what executors write, so that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
 
 
 def short_batches(spark: SparkSession) -> None:
