@@ -1,8 +1,10 @@
 """Suffix-array dedup: removes every byte covered by a long string that already starts in an earlier document.
 
-The longest previous factor of a position is the longest string starting there that also starts earlier. Sorting the
-suffixes puts those that share a prefix side by side, and the nearest smaller document before or after a suffix in that
-order is its earlier match. As only factors of at least `length` bytes matter, suffixes are compared to that depth.
+The longest previous factor of a position is the longest string starting there that also starts earlier, here in a
+document with a smaller id. Sorting the suffixes puts those that share a prefix side by side; the nearest suffix before
+and the nearest after with a smaller document are its previous and next smaller ones, and its longest previous factor is
+what it has in common with the one or the other. The bytes of factors of `length` or more go, and the first copy stays.
+As no shorter factor matters, suffixes are compared, and factors measured, to that depth.
 
 No machine can sort the suffixes of the whole corpus, so they are dealt out by content:
 
@@ -10,10 +12,11 @@ No machine can sort the suffixes of the whole corpus, so they are dealt out by c
    window's content: equal windows have equal minimizers, and neighbouring windows mostly share theirs. Each group of
    documents sends its distinct minimizers to buckets, which answer which of them other groups have too.
 2. Runs of windows with a shared minimizer are sent, once per group and content, to the bucket of the minimizer. There
-   the windows' suffixes are sorted, and for each the smaller documents before and after it in suffix order are found.
-   A minimizer that very many groups have would gather the surroundings of a popular passage in one bucket; its windows
-   are dealt out one by one by their own hash instead.
-3. The answers, the smallest document of each window, go back to the groups, which remove the covered bytes.
+   the windows' suffixes are sorted and their longest previous factors found. Of a content that several groups have, all
+   but the smallest document have the whole run as a factor. A minimizer that very many groups have would gather the
+   surroundings of a popular passage in one bucket; its windows are dealt out one by one by their own hash instead.
+3. The answers, a bit for each window of a run, go back to the groups, which remove the covered bytes. Documents of a
+   group that repeat a run of a smaller one in it need no answer.
 
 Whole copies of a smaller document are recognised first and don't take part. Bytes, not hashes, decide on equality.
 """
@@ -175,7 +178,7 @@ def _send_segments(buckets: int, length: int, gram: int):
                         key = (h >> 32) % buckets << 32 | h & 0xFFFFFFFF
                     keys.append(key)
                     docs.append(doc)
-                state.append((doc, a, c, k))
+                state.append((doc, a, c, k, runs.ids[doc] > runs.ids[docs[k]]))
         if not seen:
             return _messages([])
         keys, segments = np.array(keys, "<u8"), list(seen)
@@ -189,28 +192,48 @@ def _send_segments(buckets: int, length: int, gram: int):
     return send
 
 
-def earliest_by_suffix_order(data: bytes, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Of the suffixes starting at `at` in data, each at least `length` bytes long and of document `doc`: the smallest
-    document among those that agree with it in `length` bytes.
-
-    Suffixes are put in the order of their first `length` bytes. Those with a common prefix of that length stand
-    together, and a suffix's longest previous factor reaches `length` where a smaller document stands before or after it
-    among them. The smallest on either side are running minima that start anew where the prefix changes.
-    """
-    buffer = np.frombuffer(data, np.uint8)
-    words = np.ndarray((len(buffer) - 7,), ">u8", data, strides=(1,))
-    columns = [words[at + i].astype("<u8") for i in [*range(0, length - 8, 8), length - 8]]
+def suffix_order(data: bytes, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that start at `at` by their first `depth` bytes, which each must have, and in how many
+    of these bytes each one agrees with the one before it in that order (0 for the first)."""
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    offsets = [*range(0, depth - 8, 8), depth - 8]
+    columns = [words[at + i].astype("<u8") for i in offsets]
     order = np.lexsort(columns[::-1])
-    differs = np.zeros(len(order), bool)
-    for c in columns:
+    common = np.full(len(order), depth)
+    common[:1] = 0
+    for i, c in zip(offsets[::-1], columns[::-1], strict=True):
         s = c[order]
-        differs[1:] |= s[1:] != s[:-1]
-    smaller, rank = np.unique(doc[order], return_inverse=True)
-    offset = np.cumsum(differs) * len(smaller)
-    previous = np.minimum.accumulate(rank - offset) + offset
-    following = np.minimum.accumulate((rank + offset)[::-1])[::-1] - offset
-    out = np.empty_like(doc)
-    out[order] = smaller[np.minimum(previous, following)]
+        differ = np.flatnonzero(s[1:] != s[:-1])
+        x = s[differ + 1] ^ s[differ]
+        common[differ + 1] = i + sum((x < np.uint64(1 << 8 * k)).astype(int) for k in range(1, 8))
+    return order, common
+
+
+def previous_smaller(doc: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """What each suffix, in order, has in common with the nearest one before it that has a smaller document: 0 if there
+    is none, or where it is shorter than `least`.
+
+    Every suffix points to the one before it. While that has no smaller document, the pointer goes on to where that one
+    points, as those in between have none either; so pointers double their reach in each round.
+    """
+    at, low = np.arange(-1, len(doc) - 1), common.copy()
+    left = np.flatnonzero((at >= 0) & (low >= least))
+    while len(left := left[doc[at[left]] >= doc[left]]):
+        low[left], at[left] = np.minimum(low[left], low[at[left]]), at[at[left]]
+        left = left[(at[left] >= 0) & (low[left] >= least)]
+    low[(at < 0) | (low < least)] = 0
+    return low
+
+
+def longest_previous_factors(data: bytes, at: np.ndarray, doc: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """Of the suffixes starting at `at` in data, each at least `depth` bytes long and of document `doc`: the length, up
+    to depth, of the longest prefix with which a suffix of a smaller document starts too; 0 if it is under `least`."""
+    order, common = suffix_order(data, at, depth)
+    own = doc[order]
+    before = previous_smaller(own, common, least)
+    after = previous_smaller(own[::-1], np.r_[0, common[:0:-1]], least)[::-1]
+    out = np.empty(len(order), int)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -219,25 +242,23 @@ def _answer_segments(length: int):
         if pdf["key"].iloc[0] < 0:
             return pdf[["g", "kind", "key", "payload"]]
         seen: dict[bytes, int] = {}
-        entry, unique, doc, counts = [], [], [], []
+        entry, unique, doc = [], [], []
         for value in pdf["payload"]:
             keys, sizes, ids, joined = unpacked(value)
-            sizes = np.frombuffer(sizes, "<u4")
-            ends = np.cumsum(sizes, dtype="<i8").tolist()
+            ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype="<i8").tolist()
             parts = [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             unique.append(np.array([seen.setdefault(p, len(seen)) for p in parts]))
             entry.append(np.frombuffer(keys, "<u4"))
             doc.append(np.frombuffer(ids, "<i8"))
-            counts.append(len(parts))
-        all_unique, all_entry, all_doc = map(np.concatenate, (unique, entry, doc))
+        all_unique = np.concatenate(unique)
         first = np.full(len(seen), np.iinfo("<i8").max)
-        np.minimum.at(first, all_unique, all_doc)
+        np.minimum.at(first, all_unique, np.concatenate(doc))
         of = np.zeros(len(seen), "<u4")
-        of[all_unique] = all_entry
+        of[all_unique] = np.concatenate(entry)
         windows = np.array([len(s) - length + 1 for s in seen])
         offset = np.r_[0, np.cumsum(windows)]
-        earliest = np.repeat(first, windows)
-        # A minimizer with one content: all its windows are in the same documents, and there is nothing to sort.
+        hit = np.zeros(offset[-1], bool)
+        # A content alone under its minimizer stands next to its own copies only: its smallest document has no factor.
         _, inverse, n = np.unique(of, return_inverse=True, return_counts=True)
         several = np.flatnonzero(n[inverse] > 1)
         if len(several):
@@ -246,12 +267,12 @@ def _answer_segments(length: int):
             begin = np.r_[0, np.cumsum(windows[several] + length - 1)[:-1]]
             index = np.repeat(offset[several] - np.r_[0, np.cumsum(windows[several])[:-1]], windows[several]) + np.arange(windows[several].sum())
             local = index - np.repeat(offset[several], windows[several])
-            earliest[index] = earliest_by_suffix_order(data, np.repeat(begin, windows[several]) + local, np.repeat(first[several], windows[several]), length)
+            hit[index] = longest_previous_factors(data, np.repeat(begin, windows[several]) + local, np.repeat(first[several], windows[several]), length, length) >= length
         out = []
-        for g, key, own in zip(pdf["g"], pdf["key"], unique, strict=True):
+        for g, key, own, ids in zip(pdf["g"], pdf["key"], unique, doc, strict=True):
             w = windows[own]
             index = np.repeat(offset[own] - np.r_[0, np.cumsum(w)[:-1]], w) + np.arange(w.sum())
-            out.append((g, "earliest", key, packed(earliest[index])))
+            out.append((g, "hits", key, np.packbits(hit[index] | np.repeat(ids > first[own], w)).tobytes()))
         return _messages(out)
 
     return answer
@@ -269,16 +290,17 @@ def _remove(length: int, with_text: bool):
         state = side.loc[side["kind"] == "state", "payload"]
         if len(state):
             lines, of, windows = unpacked(state.iloc[0])
-            lines = np.frombuffer(lines, "<u4").reshape(-1, 4).astype("<i8")
+            lines = np.frombuffer(lines, "<u4").reshape(-1, 5).astype("<i8")
             of, windows = np.frombuffer(of, "<u4"), np.frombuffer(windows, "<u4").astype("<i8")
             order = np.argsort(of, kind="stable")
-            answers = side[side["kind"] == "earliest"].sort_values("key")
-            earliest = np.concatenate([np.frombuffer(unpacked(p)[0], "<i8") for p in answers["payload"]])
+            size = np.bincount(of, windows).astype(int)
+            answers = side[side["kind"] == "hits"].sort_values("key")
+            bits = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=size[k]) for k, p in zip(answers["key"], answers["payload"], strict=True)]).astype(bool)
             offset = np.empty(len(of), "<i8")
             offset[order] = np.r_[0, np.cumsum(windows[order])[:-1]]
-            doc, at, count, segment = lines.T
+            doc, at, count, segment, later = lines.T
             ramp = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-            hit = earliest[np.repeat(offset[segment], count) + ramp] < np.repeat(runs.ids[doc], count)
+            hit = bits[np.repeat(offset[segment], count) + ramp] | np.repeat(later > 0, count)
             begin = (np.repeat(runs.starts[doc] + at, count) + ramp)[hit]
             n = len(gone) + 1
             gone |= np.cumsum(np.bincount(begin, minlength=n) - np.bincount(begin + length, minlength=n))[:-1] > 0
@@ -306,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, popu
     if not 9 <= gram <= length:
         raise ValueError("9 <= gram <= length")
     docs = docs.select("doc_id", "text")
-    dealt = Grouped(docs, per_bucket=2.2 / (length - gram + 2))
+    dealt = Grouped(docs, per_bucket=0.25)
     base, copies, n = dealt.frame.groupBy("g"), dealt.copies, dealt.buckets
     keys = base.cogroup(copies.groupBy("g")).applyInPandas(_send_keys(n, length, gram), MESSAGE)
     shared = keys.groupBy("key").applyInPandas(_answer_keys(popular), MESSAGE)
