@@ -99,16 +99,31 @@ def test_groups_of_any_ids(spark):
         assert [r[0] for r in got] == [sum(b <= i for b in bounds[:n]) for i in ids]
 
 
-def test_smallest_document_on_either_side_in_suffix_order():
+def test_longest_previous_factors():
     rng, np = random.Random(4), suffix_dedup.np
-    for length in (9, 16, 20):
-        data = bytes(rng.choice(b"ab") for _ in range(300)) + b"abba" * 30
-        at = np.arange(len(data) - length + 1)
-        doc = np.array([rng.randint(0, 40) for _ in at], "<i8")
-        first = {}
-        for i, d in zip(at.tolist(), doc.tolist(), strict=True):
-            first[data[i : i + length]] = min(d, first.get(data[i : i + length], d))
-        assert suffix_dedup.earliest_by_suffix_order(data, at, doc, length).tolist() == [first[data[i : i + length]] for i in at.tolist()]
+    agree = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    for depth, letters in ((9, b"ab"), (16, b"abc"), (20, b"ab"), (50, b"a")):
+        data = bytes(rng.choice(letters) for _ in range(200)) + b"abba" * 30
+        at = np.arange(len(data) - depth + 1)
+        for most in (1, 5, 1000):
+            doc = np.array([rng.randint(0, most) for _ in at], "<i8")
+            want = [max((agree(data[i : i + depth], data[j : j + depth]) for j in at.tolist() if doc[j] < doc[i]), default=0) for i in at.tolist()]
+            assert suffix_dedup.longest_previous_factors(data, at, doc, depth).tolist() == want
+            assert suffix_dedup.longest_previous_factors(data, at, doc, depth, depth).tolist() == [w if w >= depth else 0 for w in want]
+
+
+def test_texts_longer_than_a_piece(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n))
+    long = prose(150_000)  # 1.2 million bytes
+    edge = suffix_dedup.PIECE
+    parts = [long[edge - 500 : edge + 500], long[2 * edge - 30 : 2 * edge + 60], long[edge - 49 : edge]]
+    rows = [(1, long), (2, "\n".join(parts)), (3, f"{prose(100_000)}\n{long[100_000:900_000]}\n{prose(9)}")]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 1090, 800_000] and [got[i]["n_spans"] for i in (2, 3)] == [2, 1]
+    assert got[2]["kept"] == f"\n\n{parts[2]}".encode()
+    got = {r["doc_id"]: r for r in cover_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and 122 <= got[2]["n_removed"] <= 125 and 99_990 <= got[3]["n_removed"] <= 100_000
 
 
 def test_difference_cover_is_checked(spark):
