@@ -184,8 +184,9 @@ def _send_segments(buckets: int, length: int, gram: int):
         keys, segments = np.array(keys, "<u8"), list(seen)
         of = (keys >> np.uint64(32)).astype("<i8")
         sizes, ids = np.array([len(s) for s in segments], "<u4"), runs.ids[docs]
-        state = np.array(state, "<u4")
-        rows = [(g, "state", -1 - g, packed(state, of.astype("<u4"), (sizes - length + 1).astype("<u4")))]
+        # By column and as differences, which compress well: documents, places and segments mostly go up by little.
+        state = np.diff(np.array(state, "<i8"), axis=0, prepend=0).astype("<i4").T
+        rows = [(g, "state", -1 - g, packed(*state, of.astype("<u4"), (sizes - length + 1).astype("<u4")))]
         rows += bucket_rows(g, "segments", np.argsort(of, kind="stable"), of, lambda i: packed((keys[i] & np.uint64(0xFFFFFFFF)).astype("<u4"), sizes[i], ids[i], b"".join([segments[x] for x in i.tolist()])))
         return _messages(rows)
 
@@ -289,8 +290,8 @@ def _remove(length: int, with_text: bool):
                 gone[runs.starts[i] : runs.starts[i + 1]] = True
         state = side.loc[side["kind"] == "state", "payload"]
         if len(state):
-            lines, of, windows = unpacked(state.iloc[0])
-            lines = np.frombuffer(lines, "<u4").reshape(-1, 5).astype("<i8")
+            *lines, of, windows = unpacked(state.iloc[0])
+            lines = [np.cumsum(np.frombuffer(c, "<i4"), dtype="<i8") for c in lines]
             of, windows = np.frombuffer(of, "<u4"), np.frombuffer(windows, "<u4").astype("<i8")
             order = np.argsort(of, kind="stable")
             size = np.bincount(of, windows).astype(int)
@@ -298,7 +299,7 @@ def _remove(length: int, with_text: bool):
             bits = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=size[k]) for k, p in zip(answers["key"], answers["payload"], strict=True)]).astype(bool)
             offset = np.empty(len(of), "<i8")
             offset[order] = np.r_[0, np.cumsum(windows[order])[:-1]]
-            doc, at, count, segment, later = lines.T
+            doc, at, count, segment, later = lines
             ramp = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
             hit = bits[np.repeat(offset[segment], count) + ramp] | np.repeat(later > 0, count)
             begin = (np.repeat(runs.starts[doc] + at, count) + ramp)[hit]
