@@ -12,7 +12,7 @@ anchors at cover positions alone (6 of 31) therefore misses no match.
 3. Groups remove the words of windows that an earlier group or an earlier document of their own has.
 
 Messages hold an anchor or window once per group however often it occurs, so popular passages stay small. Anchors that
-collide cost only extra windows. A window is told by 64 bits of one hash and the bucket by another one's.
+collide cost only extra windows. A window is told by 128 bits, those of two hashes.
 """
 
 from __future__ import annotations
@@ -129,14 +129,19 @@ def _all_bits(side: pd.DataFrame, kind: str) -> np.ndarray:
 
 
 def _window_keys(s: Sequences, at: np.ndarray, buckets: int, window: int):
-    """Bucket and hash of each distinct window, its first place, and of each window which distinct one it is."""
-    h = s.hashes(at, window, BASES[0])
-    values, first, which = np.unique(h, return_index=True, return_inverse=True)
-    of = (s.hashes(at[first], window, BASES[1]) % np.uint64(buckets)).astype("<i8")
-    order = np.lexsort((values, of))
+    """Bucket and both hashes (two rows) of each distinct window, its first place, and of each window which distinct one
+    it is. `at` ascends."""
+    h, k = (s.hashes(at, window, base) for base in BASES)
+    order = np.lexsort((k, h))  # stable, so that equal windows stay in the order of their places
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])]
+    which = np.empty(len(order), "<i8")
+    which[order] = np.cumsum(new) - 1
+    distinct = order[new]
+    of = (k[distinct] % np.uint64(buckets)).astype("<i8")
+    order = np.lexsort((k[distinct], h[distinct], of))
     rank = np.empty(len(order), "<i8")
     rank[order] = np.arange(len(order))
-    return of[order], values[order], first[order], rank[which]
+    return of[order], np.stack([h[distinct], k[distinct]])[:, order], distinct[order], rank[which]
 
 
 def _send_windows(buckets: int, window: int, period: int, cover: tuple[int, ...]):
@@ -156,7 +161,7 @@ def _send_windows(buckets: int, window: int, period: int, cover: tuple[int, ...]
         cut = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1])
         state = np.stack([places[cut], np.diff(np.r_[cut, len(places)])])
         rows = [(g, "state", -1 - g, packed(state.astype("<i8")))]
-        rows += bucket_rows(g, "windows", np.arange(len(of)), of, lambda i: values[i].tobytes())
+        rows += bucket_rows(g, "windows", np.arange(len(of)), of, lambda i: values[:, i].tobytes())
         return _messages(rows)
 
     return send
@@ -166,13 +171,17 @@ def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     if pdf["key"].iloc[0] < 0:
         return pdf[["g", "kind", "key", "payload"]]
     groups = pdf["g"].to_numpy()
-    lists = [np.frombuffer(p, "<u8") for p in pdf["payload"]]
+    lists = [np.frombuffer(p, "<u8").reshape(2, -1) for p in pdf["payload"]]
     order = np.argsort(groups, kind="stable")
-    values = np.concatenate([lists[i] for i in order])
-    owner = np.repeat(groups[order], [len(lists[i]) for i in order])
-    known, first = np.unique(values, return_index=True)
-    smallest = owner[first]
-    return _messages((g, "earlier", key, packed(np.array([len(own)]), np.packbits(smallest[np.searchsorted(known, own)] < g))) for g, key, own in zip(groups, pdf["key"], lists, strict=True))
+    h, k = np.concatenate([lists[i] for i in order], axis=1)
+    sizes = np.array([lists[i].shape[1] for i in order])
+    owner = np.repeat(groups[order], sizes)
+    by = np.lexsort((k, h))  # stable, so that of equal windows the smallest group comes first
+    new = np.r_[True, (h[by][1:] != h[by][:-1]) | (k[by][1:] != k[by][:-1])]
+    smallest = np.empty(len(by), owner.dtype)
+    smallest[by] = owner[by[new]][np.cumsum(new) - 1]
+    parts = np.split(smallest < owner, np.cumsum(sizes)[:-1])
+    return _messages((groups[i], "earlier", pdf["key"].iloc[i], packed(np.array([len(part)]), np.packbits(part))) for i, part in zip(order.tolist(), parts, strict=True))
 
 
 def _remove(buckets: int, window: int, with_text: bool):
@@ -190,7 +199,7 @@ def _remove(buckets: int, window: int, with_text: bool):
             places = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             _, _, first, which = _window_keys(s, places, buckets, window)
             own = s.ids[np.searchsorted(s.starts, places, "right") - 1]
-            hit = places[_all_bits(side, "earlier")[which] | (own[first][which] < own)]
+            hit = places[_all_bits(side, "earlier")[which] | (own[first[which]] < own)]
             n = len(gone) + 1
             gone |= np.cumsum(np.bincount(hit, minlength=n) - np.bincount(hit + window, minlength=n))[:-1] > 0
         out = []
