@@ -46,6 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the cluster's file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch, and so the memory of a Python worker; and workers look for this package where
     the driver found it, unless it was installed or shipped to them otherwise."""
@@ -66,6 +72,16 @@ def row_hash(names: list[str]) -> Column:
     return F.xxhash64(*names, *[F.col(n).isNull() for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,9 +124,10 @@ def group_of(key: Column, bounds: list[int]) -> Column:
 class Grouped:
     """documents dealt into groups of consecutive doc_ids, with their exact copies known.
 
-    frame: g, doc_id, data. Every group holds a range of doc_ids, and a smaller g holds smaller ids; the number of
-    documents in a group is even whatever the ids are, as the bounds are quantiles. Groups hold a bounded amount of
-    text, so a copied or popular document never lands with all its copies in one task.
+    frame: g, doc_id, data. Every group holds a range of doc_ids, and a smaller g holds smaller ids. The bounds are
+    quantiles in which a document weighs one more than its length in mean lengths, so whatever the ids and lengths are,
+    a group holds about twice the intended text at most, besides one document; only rows with one and the same doc_id
+    stay together however many they are. So a copied or popular document never lands with all its copies in one task.
     copies: g, kind, key, payload rows that name each document whose whole text is also that of a smaller doc_id, by
     its doc_id (key) and the digest of its text (payload): another text under the same doc_id is no copy.
     Documents without doc_id are not in frame.
@@ -124,7 +141,9 @@ class Grouped:
         self.groups = min(group_count(self.total), max(1, n))
         self.buckets = max(64, int(self.total * per_bucket / 1e6) + 1)
         cuts = F.split(F.lit(",".join(str(i / self.groups) for i in range(1, self.groups))), ",").cast("array<double>")
-        bounds = known.agg(F.percentile_approx("doc_id", cuts, max(10_000, 2 * self.groups))).first()[0] if self.groups > 1 else []
+        weight = (1 + F.floor(F.length("data") * (n / max(1, self.total)))).cast("int")
+        weighed = known.select("doc_id", F.explode(F.sequence(F.lit(1), weight)))
+        bounds = weighed.agg(F.percentile_approx("doc_id", cuts, max(10_000, 2 * self.groups))).first()[0] if self.groups > 1 else []
         with_group = known.withColumn("g", group_of(F.col("doc_id"), sorted(set(bounds or []))))
         self.frame = with_group.select("g", "doc_id", "data")
         keys = with_group.select("g", "doc_id", F.sha2("data", 256).alias("content"))

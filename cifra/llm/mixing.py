@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cifra.llm.common import WORD, row_hash, settled
+from cifra.llm.common import WORD, fresh, row_hash, settled
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -187,11 +187,12 @@ def stage(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     Rows equal in every column can't be told apart; one row stands for them, with their passes and taken words added up.
     Columns of docs named like an added one are replaced.
     """
-    key = ["row", "doc_id", "source"]
-    mixed = picked(docs, weights, most, seed).groupBy(*key, "size", "source_size", "target").agg(F.sum("passes").cast("int").alias("passes"), F.sum("taken").alias("taken"), F.count("*").alias("_rows"))
-    mixed = settled(mixed.filter("passes > 0").withColumnsRenamed({c: f"_{c}" for c in key}))
-    own = docs.withColumn("_hash", row_hash(docs.columns)).drop("size", "source_size", "target", "passes", "taken")
-    same = (F.col("_hash") == F.col("_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    chosen = lambda some: own.join(some, same).drop("_hash", "_row", "_doc_id", "_source", "_rows")
-    out, alike = chosen(mixed.filter("_rows = 1")), mixed.filter("_rows > 1")
+    key, added = ["row", "doc_id", "source"], ["size", "source_size", "target", "passes", "taken"]
+    own_hash, rows, *same = fresh(docs, "_hash", "_rows", *(f"_{c}" for c in key))
+    mixed = picked(docs, weights, most, seed).groupBy(*key, "size", "source_size", "target").agg(F.sum("passes").cast("int").alias("passes"), F.sum("taken").alias("taken"), F.count("*").alias(rows))
+    mixed = settled(mixed.filter("passes > 0").withColumnsRenamed(dict(zip(key, same, strict=True))))
+    own = docs.withColumn(own_hash, row_hash(docs.columns)).drop(*added)
+    equal = (F.col(own_hash) == F.col(same[0])) & F.col("doc_id").cast("long").eqNullSafe(F.col(same[1])) & F.col("source").cast("string").eqNullSafe(F.col(same[2]))
+    chosen = lambda some: own.join(some, equal).drop(own_hash, rows, *same)
+    out, alike = chosen(mixed.filter(F.col(rows) == 1)), mixed.filter(F.col(rows) > 1)
     return out if alike.isEmpty() else out.unionByName(chosen(alike).dropDuplicates())

@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cifra.llm import chat_format, cover_dedup, decontam, mixing, pii, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter
 from cifra.llm.common import table
+from cifra.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.spread(table(spark, sf_dir, "documents"))
+
+
 def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted(chat_format.other_replies(chat_format.gathered(chat_format.neighbours(table(spark, sf_dir, "conversations")))))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
 def op3_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,27 +34,27 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return cover_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
 def op6_candidate_boosting_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.found(table(spark, sf_dir, "documents"))
+    return pii.found(documents(spark, sf_dir))
 
 
 def op7_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return quality_rules.judged(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
 
 
 def op8_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.clusters(table(spark, sf_dir, "documents"))
+    return simhash.clusters(documents(spark, sf_dir))
 
 
 def op9_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "near_ids")
+    return decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("item_ids", "near_ids")
 
 
 def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:

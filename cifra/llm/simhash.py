@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import row_hash, settled, short_batches, text_bytes
+from cifra.llm.common import fresh, row_hash, settled, short_batches, text_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -227,13 +227,14 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, se
 def stage(docs: DataFrame) -> DataFrame:
     """docs with exactly one row of each component: the smallest doc_id; rows without doc_id come last, and of rows that
     repeat an id a hash of the whole row decides. Of rows equal in every column one stays."""
+    same_id, same_row = fresh(docs, "_doc_id", "_row")
     row, key = row_hash(docs.columns), F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     found = settled(clustered(docs, row=row).select("component", "doc_id", "row"))
     firsts = settled(found.groupBy("component").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first < last").select("component", "first"))
-    gone = found.join(firsts, "component").filter(key > F.col("first")).select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")).distinct()
-    same = (F.col("_row") == row) & F.col("_doc_id").eqNullSafe(F.col("doc_id").cast("long"))
+    gone = found.join(firsts, "component").filter(key > F.col("first")).select(F.col("doc_id").alias(same_id), F.col("row").alias(same_row)).distinct()
+    same = (F.col(same_row) == row) & F.col(same_id).eqNullSafe(F.col("doc_id").cast("long"))
     left = docs.join(gone, same, "left_anti")
-    alike = settled(found.groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")))
+    alike = settled(found.groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias(same_id), F.col("row").alias(same_row)))
     if not alike.isEmpty():
         left = left.join(alike, same, "left_anti").unionByName(left.join(alike, same, "left_semi").dropDuplicates(docs.columns))
     return left.select(*docs.columns)

@@ -31,3 +31,35 @@ def test_pipeline_does_what_its_stages_say(spark, tmp_path):
         assert abs(sum(r["taken"] for r in got.values() if r["source"] == s) - want[s]) <= 12
     assert "[EMAIL]" in clean[47][0]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "personal_data", "mixing"]
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    rng = random.Random(8)
+    line = lambda n=11: " ".join("".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+    text = lambda n=5: "\n".join(line() for _ in range(n))
+    item, same, long = line(20), text(), text(9000)
+    texts = [(1, same), (1, text()), (None, same), (None, text()), (2, same), (3, None), (4, ""), (5, long), (6, text() + "\n" + item), (None, text() + "\n" + item), (7, text()), (7, text())]
+    rows = [(i, t, "en", f"s{k % 2}" if k else None, len(t or ""), "clash", 9, "clash", "clash") for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, g string, passes int, component string, _row string"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = [(1, same), (1, texts[1][1]), (None, texts[3][1]), (5, long), (7, texts[10][1]), (7, texts[11][1])]
+    assert {(r["doc_id"], r["text"]) for r in got} <= set(kept) and len(got) <= len(kept) and len(got) >= 3
+    assert all(r["g"] == r["_row"] == "clash" and r["taken"] == r["passes"] * len(r["text"].split()) for r in got)
+    left = [docs for name, docs in stages(spark, str(tmp_path)) if name == "decontamination"][0]
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted(kept, key=str)
+    empty = f"{tmp_path}/none"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def stages(spark, folder):
+    """Name and rows of each stage's result."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, folder)
+        schema, rows = rows.schema, rows.collect()
+        yield name, rows
+        docs = spark.createDataFrame(rows, schema)
