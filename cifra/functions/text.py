@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,15 +108,67 @@ def without_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
-BLOCKS = "script|style|nav|header|footer"
+# Elements whose text is no part of a page's, where its text is looked for in this order, and elements
+# that hold nothing.
+DROPPED = ("script", "style", "nav", "header", "footer")
+PLACES = ("article", ".article-body", ".text", ".news-text", ".article__text", "main", ".content")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+@functools.cache
+def _page_reader():
+    """The parser as a function of a batch of pages. All of it is local, so that it is sent along with the plan."""
+    dropped, places, void = DROPPED, PLACES, VOID
+
+    class Page(HTMLParser):
+        def __init__(self, html: str):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out, self.pieces, self.found = [], 0, [], {}
+            self.feed(html)
+            self.close()
+            while self.open:
+                self._shut()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in void:
+                return
+            names = {tag, *(f".{c}" for c in (dict(attrs).get("class") or "").split())}
+            self.open.append((tag, [] if self.out else [i for i, p in enumerate(places) if p in names], len(self.pieces)))
+            self.out += tag in dropped
+
+        def handle_startendtag(self, tag, attrs):
+            pass
+
+        def handle_endtag(self, tag):
+            if any(tag == o[0] for o in self.open):
+                while self._shut() != tag:
+                    pass
+
+        def _shut(self) -> str:
+            tag, fits, start = self.open.pop()
+            self.out -= tag in dropped
+            for i in [] if self.out or tag in dropped else fits:
+                if start < self.found.get(i, (start + 1, 0))[0]:
+                    self.found[i] = start, len(self.pieces)
+            return tag
+
+        def handle_data(self, data):
+            if not self.out and data.strip():
+                self.pieces.append(data.strip())
+
+        def text(self) -> str:
+            a, b = self.found[min(self.found)] if self.found else (0, len(self.pieces))
+            return " ".join(self.pieces[a:b])
+
+    @F.pandas_udf("string")
+    def read(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: None if h is None else Page(h).text())
+
+    return read
 
 
 def html_text(html: Column) -> Column:
-    """The text of a page: without script, style, nav, header and footer; of the first article, known text block or
-    main element if there is one, else of the whole page; pieces joined by spaces. Nested blocks of one kind end at
-    the first closing tag, which a regular expression can't tell from the outer one."""
-    body = F.regexp_replace(html, f"(?is)<({BLOCKS})\\b[^>]*>.*?</\\1\\s*>", " ")
-    body = F.regexp_replace(body, "(?s)<!--.*?-->|<!(?i:doctype)[^>]*>", " ")
-    choices = ["(?is)<article\\b[^>]*>(.*?)</article\\s*>", *[f"(?is)<(?:div|section)\\b[^>]*class=\"[^\"]*\\b{k}\\b[^\"]*\"[^>]*>(.*?)</(?:div|section)\\s*>" for k in ("article-body", "text", "news-text", "article__text")], "(?is)<main\\b[^>]*>(.*?)</main\\s*>", "(?is)<(?:div|section)\\b[^>]*class=\"[^\"]*\\bcontent\\b[^\"]*\"[^>]*>(.*?)</(?:div|section)\\s*>"]
-    picked = F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in choices], body)
-    return collapsed(F.regexp_replace(picked, "<[^>]+>", " "))
+    """The text of a page: without script, style, nav, header and footer; of the first article if there is one, else of
+    the first element of a known class, main or content, else of the whole page; its pieces stripped and joined by
+    spaces. Elements nest as they do in the page, and one left open ends with the one around it."""
+    return _page_reader()(html)
