@@ -16,6 +16,10 @@ def _answered(spark: SparkSession, args: argparse.Namespace, *required: str) ->
     return df.withColumn("answer", normalize.normalizer(args.parser_type, args.hybrid)(F.col("task_text")))
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    return df if "row_id" in df.columns else df.withColumn("row_id", F.monotonically_increasing_id())
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     out = args.output or io.answer_path(args.input)
     io.write(_answered(spark, args, "task_text"), out)
@@ -27,14 +31,12 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> float | None:
     if "noise_level" in df.columns:
         metrics.accuracy_by(df, "noise_level").show()
     metrics.evaluate_report(df).show()
+    metrics.errors(_numbered(df), "row_id", 3).show(3, truncate=False)
     return metrics.accuracy(df).first()["pct"]
 
 
 def errors(spark: SparkSession, args: argparse.Namespace) -> None:
-    df = _answered(spark, args, "task_text", "ground_truth")
-    if "row_id" not in df.columns:
-        df = df.withColumn("row_id", F.monotonically_increasing_id())
-    metrics.errors(df, "row_id", args.n).show(args.n, truncate=False)
+    metrics.errors(_numbered(_answered(spark, args, "task_text", "ground_truth")), "row_id", args.n).show(args.n, truncate=False)
 
 
 def parser() -> argparse.ArgumentParser:

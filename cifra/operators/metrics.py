@@ -11,9 +11,10 @@ Col = Column
 
 
 def numeral_words(c: Col) -> Col:
-    """How many tokens of a text are number words of the current mode."""
+    """How many tokens of a text are number words of the current mode. All of these are Cyrillic, so a text without such
+    a letter isn't cut into tokens."""
     known = lambda t: lexicon.lookup(F.lower(t)).isNotNull() | ((F.regexp_extract(F.lower(t), lexicon.fused_pattern(), 1) != "") & lexicon.root_lookup(F.regexp_extract(F.lower(t), lexicon.fused_pattern(), 1)).isNotNull())
-    return F.size(F.filter(text.tokens(c), known))
+    return F.when(F.regexp_like(c, F.lit("[\u0400-\u04ff]")), F.size(F.filter(text.tokens(c), known))).otherwise(0)
 
 
 def text_stats(c: Col) -> Col:
@@ -39,7 +40,8 @@ def accuracy_by(df: DataFrame, by: str, truth: str = "ground_truth", predicted:
 
 
 def evaluate_report(df: DataFrame, truth: str = "ground_truth", predicted: str = "answer") -> DataFrame:
-    """accuracy with the number totals of both sides, and what one has less or more than the other, row by row."""
+    """accuracy with the number totals of both sides, and what one has less or more than the other, row by row. The rows
+    that are wrong are those of errors(), of which a report shows three."""
     g, p = text.count_numbers(F.coalesce(F.col(truth), F.lit(""))), text.count_numbers(F.coalesce(F.col(predicted), F.lit("")))
     right = F.col(truth).eqNullSafe(F.col(predicted))
     return df.agg(F.count("*").alias("total"), F.count_if(right).alias("correct"), F.count_if(~right).alias("wrong"), F.sum(g).alias("gold_numbers"), F.sum(p).alias("predicted_numbers"), F.sum(F.greatest(g - p, F.lit(0))).alias("missed"), F.sum(F.greatest(p - g, F.lit(0))).alias("extra"))
@@ -59,7 +61,8 @@ def error_class(task: Col, truth: Col, predicted: Col) -> Col:
 
 
 def error_taxonomy(df: DataFrame, task: str = "task_text", truth: str = "ground_truth", predicted: str = "answer") -> DataFrame:
-    return df.withColumn("error_class", error_class(F.col(task), F.col(truth), F.col(predicted))).filter("error_class is not null").groupBy("error_class").agg(F.count("*").alias("n"))
+    """How many errors of each class, the most frequent class first."""
+    return df.withColumn("error_class", error_class(F.col(task), F.col(truth), F.col(predicted))).filter("error_class is not null").groupBy("error_class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_class")
 
 
 def positional_errors(truth: Col, predicted: Col) -> Col:
@@ -98,9 +101,9 @@ def digit_confusion(df: DataFrame, truth: str = "ground_truth", predicted: str =
     return cells.groupBy(F.char_length("x.t").alias("true_digits"), F.char_length("x.p").alias("predicted_digits")).agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(cells: DataFrame, most: int = 12) -> DataFrame:
-    """digit_confusion() as a table with a column for each predicted length."""
-    return cells.groupBy("true_digits").pivot("predicted_digits", list(range(1, most + 1))).agg(F.sum("n"))
+def confusion_matrix(cells: DataFrame) -> DataFrame:
+    """digit_confusion() as a table with a column for each predicted length there is."""
+    return cells.groupBy("true_digits").pivot("predicted_digits").agg(F.sum("n"))
 
 
 def classification_report(cells: DataFrame) -> DataFrame:
@@ -146,6 +149,17 @@ def changed(df: DataFrame, task: str = "task_text", truth: str = "ground_truth")
     return df.agg(F.count("*").alias("total"), F.count_if(F.col(task) != F.col(truth)).alias("changed"), F.count_if(text.space_parts(F.col(task)) != text.space_parts(F.col(truth))).alias("regrouped"))
 
 
+def regrouped_rows(df: DataFrame, row_id: str, n: int = 10, task: str = "task_text", truth: str = "ground_truth") -> DataFrame:
+    """The first n rows whose texts have different numbers of tokens, by row id."""
+    return df.filter(text.space_parts(F.col(task)) != text.space_parts(F.col(truth))).orderBy(row_id).limit(n)
+
+
+def length_delta(df: DataFrame, truth: str = "ground_truth", predicted: str = "answer") -> DataFrame:
+    """How much longer, in characters, answers are than the truth on average, and how far off either way; null texts are empty."""
+    delta = F.char_length(F.coalesce(F.col(predicted), F.lit(""))) - F.char_length(F.coalesce(F.col(truth), F.lit("")))
+    return df.agg(F.round(F.avg(delta), 6).alias("mean_delta"), F.round(F.avg(F.abs(delta)), 6).alias("mean_distance"), F.min(delta).alias("min_delta"), F.max(delta).alias("max_delta"))
+
+
 def distortion_frequency(df: DataFrame, column: str, row_id: str, n: int = 20) -> DataFrame:
     """The n most frequent distorted words; of equal counts the one seen first."""
     known = F.array(*map(F.lit, lexicon.distorted()))
@@ -158,5 +172,12 @@ def ordinal_tokens(df: DataFrame, column: str, row_id: str) -> DataFrame:
     return words.filter(F.get(lexicon.lookup(F.lower("word"))["seq"], F.lit(0))["k"] == lexicon.ORDINAL)
 
 
+def ordinal_report(df: DataFrame, column: str, row_id: str, n: int = 10) -> DataFrame:
+    """How many ordinal tokens there are, and the first n in order of rows and places."""
+    found = ordinal_tokens(df, column, row_id)
+    first = [r["word"] for r in found.orderBy("row", "pos").limit(n).collect()]
+    return found.agg(F.count("*").alias("n")).withColumn("first_words", F.array(*map(F.lit, first)).cast("array<string>"))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))

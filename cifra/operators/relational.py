@@ -75,9 +75,19 @@ def hash_split(df: DataFrame, row_id: str, share: float = 0.9, seed: int = 42) -
     return df.filter(first), df.filter(~first)
 
 
+def known_rows(df: DataFrame, truth: str = "ground_truth", task: str = "task_text") -> DataFrame:
+    """Rows that have an answer and a text that isn't empty."""
+    return df.filter(F.col(truth).isNotNull() & (F.col(task) != ""))
+
+
 def shuffled(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows in a seeded order."""
-    return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)
+    """n rows in a seeded order. The hash of the last one is found first, so that rows beyond it aren't sorted and no
+    task gets all; rows of equal hash aren't parted."""
+    rows = df.withColumn("_hash", F.xxhash64(F.col(row_id), F.lit(seed)))
+    total = rows.count()
+    if 0 < n < total:
+        rows = rows.filter(F.col("_hash") <= id_at(rows, "_hash", n, total))
+    return rows.filter(F.lit(n > 0)).orderBy("_hash", row_id).drop("_hash")
 
 
 def sentences(df: DataFrame, column: str, row_id: str, after_stops: bool = True) -> DataFrame:

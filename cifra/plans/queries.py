@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cifra.functions import text, verbalize
 from cifra.operators import charlm, fold, metrics, normalize, relational
 from cifra.plans import synth
+from cifra.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +34,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work that costs much more for each row than a shuffle does."""
+    return io.spread(read(spark, sf_dir, name))
+
+
 def words(c: Column) -> Column:
     return verbalize.number_to_words(c)
 
@@ -42,35 +48,35 @@ ROUND_TRIP = "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS answer FROM orde
 
 @query(ROUND_TRIP)
 def itn_roundtrip_current(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(words(F.col("o_orderkey")), "current").alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(words(F.col("o_orderkey")), "current").alias("answer"))
 
 
 @query(ROUND_TRIP)
 def itn_roundtrip_sequence(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(words(F.col("o_orderkey")), "sequence").alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(words(F.col("o_orderkey")), "sequence").alias("answer"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'заказ ' || o_orderkey || ' рублей' WHEN 1 THEN 'где то ' || o_orderkey ELSE 'свыше ' || o_orderkey || ' показов' END AS answer FROM orders")
 def itn_context_phrase(spark, sf_dir):
     w, k = words(F.col("o_orderkey")), F.col("o_orderkey") % 3
     phrase = F.when(k == 0, F.concat(F.lit("заказ "), w, F.lit(" рублей"))).when(k == 1, F.concat(F.lit("где то "), w)).otherwise(F.concat(F.lit("свыше "), w, F.lit(" показов")))
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(phrase).alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(phrase).alias("answer"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' рублей' AS answer FROM orders")
 def itn_money_thousands(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(F.concat(words(F.floor("o_totalprice")), F.lit(" рублей")), "sequence").alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(F.concat(words(F.floor("o_totalprice")), F.lit(" рублей")), "sequence").alias("answer"))
 
 
 @query("SELECT l_orderkey, l_linenumber, (100 * (l_partkey % 9 + 1)) || ' ' || (100 * (l_suppkey % 9 + 1)) AS answer FROM lineitem")
 def itn_enum_pairs(spark, sf_dir):
     pair = F.concat_ws(" ", words(100 * (F.col("l_partkey") % 9 + 1)), words(100 * (F.col("l_suppkey") % 9 + 1)))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", normalize.normalize(pair).alias("answer"))
+    return spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", normalize.normalize(pair).alias("answer"))
 
 
 @query("SELECT o_orderkey, day(o_orderdate) || ' числа' AS answer FROM orders")
 def itn_ordinal_day(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(F.concat(verbalize.ordinal_words(F.dayofmonth("o_orderdate")), F.lit(" числа"))).alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(F.concat(verbalize.ordinal_words(F.dayofmonth("o_orderdate")), F.lit(" числа"))).alias("answer"))
 
 
 @query("""
@@ -82,7 +88,7 @@ def itn_fold_state_machine(spark, sf_dir):
     part = lambda v, m, k: F.struct(v.cast("bigint").alias("v"), F.lit(m).alias("m") if isinstance(m, int) else m.alias("m"), F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"))
     even = F.col("l_orderkey") % 2 == 0
     parts = F.array(part(100 * (F.col("l_partkey") % 9 + 1), 3, 0), part(10 * (F.col("l_suppkey") % 8 + 2), 2, 0), part(F.col("l_linenumber") % 9 + 1, 0, 0), part(F.lit(1000), 4, 1), part(F.when(even, 1000).otherwise(40), F.when(even, 4).otherwise(2), F.when(even, 1).otherwise(0)))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(fold.parse_group(parts, True), " ").alias("totals"))
+    return spread(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(fold.parse_group(parts, True), " ").alias("totals"))
 
 
 @query("""
@@ -101,13 +107,13 @@ SELECT o_orderkey, ['тысяч','двадцатое','пять','компьют
 def token_classify(spark, sf_dir):
     token = F.get(F.array(*map(F.lit, ("тысяч", "двадцатое", "пять", "компьютер", "дваста", "дветысячи"))), (F.col("o_orderkey") % 6).cast("int"))
     parts = F.transform(F.get(normalize.classified(F.array(token), True), F.lit(0))["parts"], lambda p: F.concat_ws(":", p["v"], p["m"], p["k"]))
-    return read(spark, sf_dir, "orders").select("o_orderkey", token.alias("token"), F.array_join(parts, " ").alias("parts"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", token.alias("token"), F.array_join(parts, " ").alias("parts"))
 
 
 @query("SELECT o_orderkey, ['двести тридцать пять тысяч','до пятьдесят','триста рублей','четыреста','пять'][o_orderkey % 5 + 1] AS mended FROM orders")
 def asr_prepass(spark, sf_dir):
     raw = F.get(F.array(*map(F.lit, ("двеси триста пятьдесят тысяч", "до пятдесят", "тристо рублей", "четыриста", "пять"))), (F.col("o_orderkey") % 5).cast("int"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", text.mended(raw).alias("mended"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", text.mended(raw).alias("mended"))
 
 
 @query("""
@@ -116,32 +122,32 @@ SELECT o_orderkey, ['почти 1000','половиной тыщ','с чем т
 """)
 def vague_context(spark, sf_dir):
     raw = F.get(F.array(*map(F.lit, ("почти тыщ", "половиной тыщ", "с чем то тыщ", "около Тыщ"))), (F.col("o_orderkey") % 4).cast("int"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(raw, "current").alias("current_mode"), normalize.normalize(raw, "sequence").alias("sequence_mode"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(raw, "current").alias("current_mode"), normalize.normalize(raw, "sequence").alias("sequence_mode"))
 
 
 @query("SELECT o_orderkey, ['я сто','100 рублей','сорок птиц','три те','200 100 на'][o_orderkey % 5 + 1] AS answer FROM orders")
 def disambiguate(spark, sf_dir):
     raw = F.get(F.array(*map(F.lit, ("я сто", "сто рублей", "сорок птиц", "три те", "двести сто на"))), (F.col("o_orderkey") % 5).cast("int"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(raw).alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize(raw).alias("answer"))
 
 
 @query("SELECT o_orderkey, [1.0, 0.6, 0.7, 0.4][o_orderkey % 4 + 1]::DOUBLE AS confidence FROM orders")
 def confidence(spark, sf_dir):
     pick = lambda *v: F.get(F.array(*map(F.lit, v)), (F.col("o_orderkey") % 4).cast("int"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.confidence(pick("сто рублей", "пять тыщ", "два два", "шестьтысяч"), pick("100 рублей", "5000", "2 2", "6 первый")).cast("double").alias("confidence"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.confidence(pick("сто рублей", "пять тыщ", "два два", "шестьтысяч"), pick("100 рублей", "5000", "2 2", "6 первый")).cast("double").alias("confidence"))
 
 
 @query("SELECT o_orderkey, ['иначе','5 рублей'][o_orderkey % 2 + 1] AS answer FROM orders")
 def hybrid_router(spark, sf_dir):
     raw = F.when(F.col("o_orderkey") % 2 == 0, "пять тыщ").otherwise("пять рублей")
-    return read(spark, sf_dir, "orders").select("o_orderkey", normalize.hybrid(raw, F.lit("иначе")).alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", normalize.hybrid(raw, F.lit("иначе")).alias("answer"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as labelled phrases; every tenth answer lacks its number, every tenth plus one has a wrong one."""
     n = F.col("o_orderkey")
     wrong = F.when(n % 10 == 0, "рублей").when(n % 10 == 1, F.concat((n + 7).cast("string"), F.lit(" рублей"))).otherwise(normalize.normalize(F.concat(words(n), F.lit(" рублей"))))
-    return read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.concat(words(n), F.lit(" рублей")).alias("task_text"), F.concat(n.cast("string"), F.lit(" рублей")).alias("ground_truth"), wrong.alias("answer"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.concat(words(n), F.lit(" рублей")).alias("task_text"), F.concat(n.cast("string"), F.lit(" рублей")).alias("ground_truth"), wrong.alias("answer"))
 
 
 PREDICTIONS = """WITH p AS (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey AS VARCHAR) AS g,
@@ -159,6 +165,11 @@ def evaluate_report(spark, sf_dir):
     return metrics.evaluate_report(predictions(spark, sf_dir))
 
 
+@query(PREDICTIONS + "SELECT o_orderkey, ground_truth, answer FROM t WHERE ground_truth <> answer ORDER BY o_orderkey LIMIT 3")
+def evaluate_errors(spark, sf_dir):
+    return metrics.errors(predictions(spark, sf_dir), "o_orderkey", 3).select("o_orderkey", "ground_truth", "answer")
+
+
 @query(PREDICTIONS + "SELECT o_orderkey, ground_truth, answer FROM t WHERE ground_truth <> answer ORDER BY o_orderkey LIMIT 15")
 def first_errors(spark, sf_dir):
     return metrics.errors(predictions(spark, sf_dir), "o_orderkey").select("o_orderkey", "ground_truth", "answer")
@@ -167,7 +178,7 @@ def first_errors(spark, sf_dir):
 @query("SELECT CASE o_orderkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'extra' ELSE 'other' END AS error_class, count(*) AS n FROM orders GROUP BY 1")
 def error_taxonomy(spark, sf_dir):
     pick = lambda *v: F.get(F.array(*map(F.lit, v)), (F.col("o_orderkey") % 3).cast("int"))
-    df = read(spark, sf_dir, "orders").select(pick("a 5 b", "a b", "x y").alias("task_text"), pick("a 5 b", "a b", "x y").alias("ground_truth"), pick("a c b", "a 7", "x z").alias("answer"))
+    df = spread(spark, sf_dir, "orders").select(pick("a 5 b", "a b", "x y").alias("task_text"), pick("a 5 b", "a b", "x y").alias("ground_truth"), pick("a c b", "a 7", "x z").alias("answer"))
     return metrics.error_taxonomy(df)
 
 
@@ -197,12 +208,6 @@ def digit_length_report(spark, sf_dir):
     return metrics.classification_report(metrics.digit_confusion(predictions(spark, sf_dir))).withColumn("digits", F.col("digits").cast("long"))
 
 
-@query("SELECT CASE WHEN length(r_name) <= 20 THEN '1-20' ELSE '21-40' END AS bucket, count(*) AS n, count(*) FILTER (r_regionkey % 2 = 0) AS correct FROM region GROUP BY 1")
-def length_buckets(spark, sf_dir):
-    df = read(spark, sf_dir, "region").select(F.col("r_name").alias("task_text"), F.col("r_name").alias("ground_truth"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).otherwise("x").alias("answer"))
-    return metrics.accuracy_by_length(df)
-
-
 @query("SELECT CASE WHEN length(text) <= 20 THEN '1-20' WHEN length(text) <= 40 THEN '21-40' ELSE '41+' END AS bucket, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS correct FROM documents GROUP BY 1")
 def length_buckets_of_documents(spark, sf_dir):
     df = read(spark, sf_dir, "documents").select(F.col("text").alias("task_text"), F.col("text").alias("ground_truth"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("answer"))
@@ -214,14 +219,14 @@ SPLIT = "list_filter(regexp_split_to_array(text, '[\\s\\x1c-\\x1f\\x0b\\p{Z}]+')
 
 @query(f"SELECT doc_id, CAST(length(text) AS BIGINT) AS length, CAST(len({SPLIT}) AS BIGINT) AS tokens, CAST(len(regexp_extract_all(text, '\\d+')) AS BIGINT) AS digit_tokens, 0::BIGINT AS numeral_words FROM documents")
 def text_stats(spark, sf_dir):
-    s = read(spark, sf_dir, "documents").select("doc_id", metrics.text_stats(F.col("text")).alias("s"))
+    s = spread(spark, sf_dir, "documents").select("doc_id", metrics.text_stats(F.col("text")).alias("s"))
     return s.select("doc_id", *[F.col(f"s.{n}").cast("long").alias(n) for n in ("length", "tokens", "digit_tokens", "numeral_words")])
 
 
 @query(f"""SELECT count(*) AS n_rows, count(*) FILTER (len(regexp_extract_all(text, '\\d+')) > 0) AS rows_with_digits, CAST(sum(len(regexp_extract_all(text, '\\d+'))) AS BIGINT) AS digits, 0::BIGINT AS numeral_words,
   avg(len(regexp_extract_all(text, '\\d+'))) AS avg_digits, CAST(min(len({SPLIT})) AS BIGINT) AS min_tokens, avg(len({SPLIT})) AS avg_tokens, CAST(max(len({SPLIT})) AS BIGINT) AS max_tokens FROM conversations""")
 def run_report(spark, sf_dir):
-    return metrics.run_report(read(spark, sf_dir, "conversations"), "text").withColumn("min_tokens", F.col("min_tokens").cast("long")).withColumn("max_tokens", F.col("max_tokens").cast("long"))
+    return metrics.run_report(spread(spark, sf_dir, "conversations"), "text").withColumn("min_tokens", F.col("min_tokens").cast("long")).withColumn("max_tokens", F.col("max_tokens").cast("long"))
 
 
 @query("SELECT CAST(len(regexp_extract_all(text, '\\d+')) AS BIGINT) AS numbers, count(*) AS n FROM documents GROUP BY 1")
@@ -255,16 +260,50 @@ def changed_rows(spark, sf_dir):
     return metrics.changed(predictions(spark, sf_dir), "answer", "ground_truth")
 
 
+@query(PREDICTIONS + "SELECT o_orderkey, ground_truth, answer FROM t WHERE len(string_split(ground_truth, ' ')) <> len(string_split(answer, ' ')) ORDER BY o_orderkey LIMIT 10")
+def regrouped_rows(spark, sf_dir):
+    return metrics.regrouped_rows(predictions(spark, sf_dir), "o_orderkey", 10, "answer", "ground_truth").select("o_orderkey", "ground_truth", "answer")
+
+
+@query(PREDICTIONS + ", d AS (SELECT length(answer) - length(ground_truth) AS d FROM t) SELECT round(avg(d), 6) AS mean_delta, round(avg(abs(d)), 6) AS mean_distance, min(d) AS min_delta, max(d) AS max_delta FROM d")
+def length_delta(spark, sf_dir):
+    return metrics.length_delta(predictions(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("min_delta", "max_delta")})
+
+
+@query("SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL AND CAST(toxic AS VARCHAR) <> ''")
+def known_rows(spark, sf_dir):
+    df = read(spark, sf_dir, "labels").withColumn("task_text", F.col("toxic").cast("string"))
+    return relational.known_rows(df, "quality").select("doc_id", "quality")
+
+
+def numeral(n: str) -> str:
+    """SQL: how many words say a number below a million."""
+    below = lambda x: f"(CASE WHEN {x} // 100 > 0 THEN 1 ELSE 0 END + CASE WHEN {x} % 100 BETWEEN 10 AND 19 OR {x} % 100 > 0 AND {x} % 10 = 0 OR {x} % 100 BETWEEN 1 AND 9 THEN 1 WHEN {x} % 100 > 0 THEN 2 ELSE 0 END)"
+    return f"(CASE WHEN {n} = 0 THEN 1 ELSE {below(f'({n} // 1000)')} + CASE WHEN {n} >= 1000 THEN 1 ELSE 0 END + {below(f'({n} % 1000)')} END)"
+
+
+@query(f"SELECT o_orderkey, CAST({numeral('o_orderkey')} + {numeral('(o_custkey % 1000)')} AS BIGINT) AS numerals, CAST({numeral('o_orderkey')} + {numeral('(o_custkey % 1000)')} + 3 AS BIGINT) AS tokens FROM orders")
+def numeral_words(spark, sf_dir):
+    phrase = F.concat(F.lit("Заказ "), F.initcap(words(F.col("o_orderkey"))), F.lit(" стоит  "), words(F.col("o_custkey") % 1000), F.lit(" рублей"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", metrics.text_stats(phrase).alias("s")).select("o_orderkey", F.col("s.numeral_words").cast("long").alias("numerals"), F.col("s.tokens").cast("long").alias("tokens"))
+
+
 @query("SELECT w AS word, count(*) AS n FROM (SELECT ['двеси','пять','тыщ','писят','тыс'][o_orderkey % 5 + 1] AS w FROM orders) WHERE w <> 'пять' GROUP BY 1")
 def distortion_frequency(spark, sf_dir):
     raw = F.get(F.array(*map(F.lit, ("двеси", "пять", "тыщ", "писят", "тыс"))), (F.col("o_orderkey") % 5).cast("int"))
-    return metrics.distortion_frequency(read(spark, sf_dir, "orders").select("o_orderkey", raw.alias("t")), "t", "o_orderkey")
+    return metrics.distortion_frequency(spread(spark, sf_dir, "orders").select("o_orderkey", raw.alias("t")), "t", "o_orderkey")
 
 
 @query("SELECT o_orderkey AS row, 1::BIGINT AS pos, 'первого' AS word FROM orders WHERE o_orderkey % 3 = 0")
 def ordinal_tokens(spark, sf_dir):
     raw = F.when(F.col("o_orderkey") % 3 == 0, "до первого числа").otherwise("до пяти")
-    return metrics.ordinal_tokens(read(spark, sf_dir, "orders").select("o_orderkey", raw.alias("t")), "t", "o_orderkey").withColumn("pos", F.col("pos").cast("long"))
+    return metrics.ordinal_tokens(spread(spark, sf_dir, "orders").select("o_orderkey", raw.alias("t")), "t", "o_orderkey").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT count(*) AS n, (SELECT string_agg('первого', ' ') FROM (SELECT 1 FROM orders WHERE o_orderkey % 3 = 0 LIMIT 10)) AS first_words FROM orders WHERE o_orderkey % 3 = 0")
+def ordinal_report(spark, sf_dir):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, "до первого числа").otherwise("до пяти")
+    return metrics.ordinal_report(spread(spark, sf_dir, "orders").select("o_orderkey", raw.alias("t")), "t", "o_orderkey").withColumn("first_words", F.array_join("first_words", " "))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -292,7 +331,7 @@ def dedup_md5(spark, sf_dir):
 @query("""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '')) AS sentence FROM documents)
 SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS characters, count(*) FILTER (regexp_matches(sentence, '(^|[^0-9\\p{L}_])\\d{1,6}($|[^0-9\\p{L}_])') AND length(sentence) > 15) AS with_number FROM s GROUP BY doc_id""")
 def sentence_numbers(spark, sf_dir):
-    s = relational.sentences(read(spark, sf_dir, "documents"), "text", "doc_id", after_stops=False)
+    s = relational.sentences(spread(spark, sf_dir, "documents"), "text", "doc_id", after_stops=False)
     return s.groupBy(F.col("row").alias("doc_id")).agg(F.count("*").alias("n"), F.sum(F.char_length("sentence")).alias("characters"), F.count_if(text.has_number(F.col("sentence"), 15)).alias("with_number"))
 
 
@@ -301,42 +340,45 @@ def feed_sentences(spark, sf_dir):
     item = "<item><title>Заказ {} оплачен сегодня полностью! Ещё {}.</title><description>&lt;b&gt;Цена&lt;/b&gt; &lt;= {} рублей &amp; доставка? Без числа в этом предложении</description></item>"
     k = F.col("o_orderkey").cast("string")
     xml = F.concat(F.lit("<rss><channel>"), F.replace(F.lit(item), F.lit("{}"), k), F.lit("</channel></rss>"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.flatten(F.transform(text.feed_texts(xml), lambda t: text.numbered_parts(t, 20)))).alias("sentence"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.flatten(F.transform(text.feed_texts(xml), lambda t: text.numbered_parts(t, 20)))).alias("sentence"))
 
 
 @query("""SELECT o_orderkey, left('В заказе ' || o_orderkey || ' было сто "разных" товаров, и все они дошли', 40) AS sentence FROM orders""")
 def extract_sentences(spark, sf_dir):
     said = F.concat(F.lit("Вот. В заказе "), "o_orderkey", F.lit(' было сто "разных" товаров, и все они дошли! Без числа же предложение не берут'))
     answer = F.to_json(F.struct(F.struct(F.create_map(F.col("o_orderkey").cast("string"), F.struct(said.alias("extract"))).alias("pages")).alias("query")))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.flatten(F.transform(text.extracts(answer), lambda t: text.numbered_parts(t, 30, 40)))).alias("sentence"))
+    return spread(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.flatten(F.transform(text.extracts(answer), lambda t: text.numbered_parts(t, 30, 40)))).alias("sentence"))
 
 
-@query()
-def html_text(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+def _without(html: str, tags: tuple[str, ...]) -> str:
+    for tag in tags:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    return html
 
 
-@query("SELECT doc_id, ground_truth FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')) AS ground_truth FROM documents) WHERE false")
-def spoken_pairs_of_plain_text(spark, sf_dir):
-    plain = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[0-9]", "").alias("text"))
-    return relational.spoken_pairs(plain, "text", "doc_id").select("doc_id", "ground_truth")
+@query(f"""WITH p AS (SELECT page_id, regexp_replace({_without("html", ("script", "style", "nav", "header", "footer"))}, '(?s)<!--.*?-->|<![^>]*>', '<i>', 'g') AS h FROM pages),
+  a AS (SELECT page_id, coalesce(nullif(regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), ''), h) AS h FROM p),
+  n AS (SELECT page_id, list_transform(regexp_split_to_array(h, '<[^>]+>'), lambda x: regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS parts FROM a)
+SELECT page_id, array_to_string(list_filter(parts, lambda x: x <> ''), ' ') AS text FROM n""")
+def html_text(spark, sf_dir):
+    return spread(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
 @query("""SELECT min(doc_id) AS doc_id, ground_truth FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[\\s\\x1c-\\x1f\\x0b\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS ground_truth FROM documents)
 WHERE regexp_matches(ground_truth, '(^|[^0-9\\p{L}_])\\d{1,6}($|[^0-9\\p{L}_])') GROUP BY ground_truth""")
 def spoken_pairs_of_documents(spark, sf_dir):
-    return relational.spoken_pairs(read(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "ground_truth")
+    return relational.spoken_pairs(spread(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "ground_truth")
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' руб.' AS ground_truth, CAST(o_orderkey AS VARCHAR) || ' руб.' AS back FROM orders")
 def spoken_pairs(spark, sf_dir):
-    df = read(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderkey", F.lit("  РУБ.")).alias("t"))
+    df = spread(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderkey", F.lit("  РУБ.")).alias("t"))
     return relational.spoken_pairs(df, "t", "o_orderkey").select("o_orderkey", "ground_truth", normalize.normalize(F.col("task_text")).alias("back"))
 
 
 @query("WITH p AS (SELECT item_id, chr(2) || chr(2) || text || chr(3) AS s, length(text) AS n FROM benchmark), g AS (SELECT substr(s, i, 2) AS context, substr(s, i + 2, 1) AS token FROM (SELECT s, unnest(range(1, n + 2)) AS i FROM p)) SELECT context, token, count(*) AS n FROM g GROUP BY 1, 2")
 def char_ngram_counts(spark, sf_dir):
-    return charlm.train(read(spark, sf_dir, "benchmark"), "text", 3).grams
+    return charlm.train(spread(spark, sf_dir, "benchmark"), "text", 3).grams
 
 
 SCORES = """WITH p AS (SELECT item_id, chr(2) || chr(2) || text || chr(3) AS s, length(text) AS n FROM benchmark),
@@ -348,7 +390,7 @@ SCORES = """WITH p AS (SELECT item_id, chr(2) || chr(2) || text || chr(3) AS s,
 
 @query(SCORES + "SELECT item_id, round(score, 6) AS score FROM scored")
 def char_lm_score(spark, sf_dir):
-    items = read(spark, sf_dir, "benchmark")
+    items = spread(spark, sf_dir, "benchmark")
     return charlm.train(items, "text", 3).score(items, "text", "item_id").select("item_id", F.round("score", 6).alias("score"))
 
 
@@ -376,7 +418,7 @@ def synth_templates(spark, sf_dir):
     return synth.dataset(spark, 1900)
 
 
-@query("SELECT CAST(800 AS BIGINT) AS n, true AS all_right")
+@query()
 def synth_ordinals_round_trip(spark, sf_dir):
     same = normalize.normalize(F.col("task_text")) == F.col("ground_truth")
     return synth.ordinals(spark, 800).agg(F.count("*").alias("n"), F.min(F.when(F.col("noise_level") == "clean", same)).alias("all_right"))

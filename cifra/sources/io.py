@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -87,11 +88,31 @@ def write(df: DataFrame, path: str) -> None:
                 w.write_table(pa.Table.from_batches([b]).cast(first))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the cluster has slots, if it has fewer: a table of a few large row groups is read by
+    as many tasks, and what is computed from it would keep the other slots idle. A larger table isn't shuffled."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def write_json_array(df: DataFrame, column: str, path: str) -> None:
+    """The distinct values of a column as one file with a JSON array, for exchange; partitions come to the driver one at
+    a time."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for i, row in enumerate(df.filter(F.col(column).isNotNull()).select(F.to_json(F.array(column)).alias("one")).distinct().toLocalIterator()):
+            f.write(",\n" * (i > 0) + row["one"][1:-1])
+        f.write("]\n")
+
+
 def write_json_list(df: DataFrame, column: str, path: str) -> None:
     """The distinct values of a column, a JSON object a line."""
     df.select(column).distinct().write.mode("overwrite").json(path)
 
 
 def answer_path(path: str) -> str:
-    """Where results of an input go unless told otherwise."""
-    return f"{path.rsplit('.', 1)[0]}_answer.f"
+    """Where results of an input go unless told otherwise: beside it, in its own format, as only a Feather input is
+    known to fit one file."""
+    stem, dot, end = path.rstrip("/").rpartition(".")
+    feather = path.endswith((".f", ".feather", ".arrow"))
+    return f"{stem if dot and (feather or end == 'parquet') else path.rstrip('/')}_answer{'.f' if feather else '.parquet'}"

@@ -1,6 +1,7 @@
 """The engine's queries beside their SQL, and what SQL can't see: files, the command line, streams, splits, synthetic data."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -61,6 +62,13 @@ def test_feather_is_read_by_batches_and_written_back(spark, phrases, tmp_path):
     assert feather.read_table(f"{tmp_path}/none.f").num_rows == 0 and io.read(spark, f"{tmp_path}/none.f").columns == df.columns
     io.write(df, f"{tmp_path}/copy")
     assert io.read(spark, f"{tmp_path}/copy").count() == 5
+    io.write_json_array(df, "task_text", f"{tmp_path}/texts.json")
+    with open(f"{tmp_path}/texts.json", encoding="utf-8") as f:
+        assert sorted(json.load(f)) == sorted(r[0] for r in PHRASES if r[0])
+    io.write_json_array(df.limit(0), "task_text", f"{tmp_path}/none.json")
+    with open(f"{tmp_path}/none.json", encoding="utf-8") as f:
+        assert json.load(f) == []
+    assert io.answer_path("a.d/x.f") == "a.d/x_answer.f" and io.answer_path("a.d/x") == "a.d/x_answer.parquet" and io.answer_path("x.parquet") == "x_answer.parquet"
     io.write_json_list(df, "noise_level", f"{tmp_path}/levels")
     assert {r[0] for r in spark.read.json(f"{tmp_path}/levels").collect()} == {"clean", "noisy"}
 
@@ -126,9 +134,16 @@ def test_spoken_pairs_of_whole_documents(spark, tmp_path):
 
 
 def test_pages(spark):
-    html = "<html><nav>menu</nav><p>before</p><article><h1>Head</h1><script>x()</script> body <b>5</b> </article></html>"
-    rows = spark.createDataFrame([(html,), ("<p>a<br>b</p>",), (None,)], "h string").select(text.html_text(F.col("h"))).collect()
-    assert [r[0] for r in rows] == ["Head body 5", "a b", None]
+    cases = [
+        ("<html><nav>menu</nav><p>before</p><article><h1>Head</h1><script>x('</p>')</script> body <b>5</b> </article></html>", "Head body 5"),
+        ("<p>a<br>b</p>", "a b"), (None, None), ("", ""), ("no tags &amp; &lt;b&gt;", "no tags & <b>"),
+        ("<article>one<article>two</article>three</article><article>four</article>", "one two three"),
+        ("<div class='x text y'><div>in</div>still</div><main>not</main>", "in still"), ("<div class='content'>c</div><main>m</main>", "m"),
+        ("<nav><div>a<nav>b</nav>c</div>d</nav>e", "e"), ("<header><article>gone</article></header><section class=\"news-text\"><p>left <b>open<p>end</section>tail", "left open end"),
+        ("<article><p>never closed <footer>gone</footer> x", "never closed x"), ("</div>a<!-- c -->b", "a b"), ("<p>" * 3000 + "deep", "deep"),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string").select("i", text.html_text(F.col("h"))).collect()
+    assert [r[1] for r in sorted(rows)] == [want for _, want in cases]
 
 
 def test_language_model_is_kept(spark, tmp_path):
@@ -137,7 +152,14 @@ def test_language_model_is_kept(spark, tmp_path):
     model.save(f"{tmp_path}/lm")
     score = lambda m: sorted((r["row_id"], round(r["score"], 9)) for r in m.score(df, "t", "row_id").collect())
     assert score(charlm.load(spark, f"{tmp_path}/lm")) == score(model)
+    assert model.n_train == 3 and charlm.load(spark, f"{tmp_path}/lm").limits == {}
     p5 = charlm.thresholds(model.score(df, "t", "row_id")).first()["p5"]
+    model.limits["p5"] = p5
+    model.save(f"{tmp_path}/lm")
+    kept = charlm.load(spark, f"{tmp_path}/lm")
+    assert kept.limits == {"p5": p5} and kept.n_train == 3
+    scores = spark.createDataFrame([(float(i * 37 % 101),) for i in range(101)] + [(None,)], "score double")
+    assert tuple(charlm.thresholds(scores).first())[:4] == (5.0, 10.0, 0.0, 50.0) and charlm.thresholds(scores.limit(0)).first()["p5"] is None
     assert charlm.plausible(model.score(df, "t", "row_id"), p5).count() >= 2
 
 
@@ -145,6 +167,10 @@ def test_metrics_of_no_rows_and_of_nulls(spark):
     df = spark.createDataFrame([(1, "а", None, None), (2, "пять", "5", None), (3, "два", "2", "2")], "row_id long, task_text string, ground_truth string, answer string")
     assert tuple(metrics.accuracy(df).first())[:2] == (2, 3) and metrics.accuracy(df.limit(0)).first()["pct"] is None
     assert [r["row_id"] for r in metrics.errors(df, "row_id").collect()] == [2]
+    assert tuple(metrics.length_delta(df).first()) == (round(-1 / 3, 6), round(1 / 3, 6), -1, 0)
+    assert relational.known_rows(df).count() == 2 and [r["row_id"] for r in metrics.regrouped_rows(df.na.fill("a b", ["ground_truth"]), "row_id").collect()] == [1]
+    cells = metrics.digit_confusion(spark.createDataFrame([("1" * 15 + " 22", "1" * 15 + " 3")], "ground_truth string, answer string"))
+    assert {(r["true_digits"], r["15"], r["1"]) for r in metrics.confusion_matrix(cells).collect()} == {(15, 1, None), (2, None, 1)}
 
 
 def test_rows_without_group_count_in_the_overall_accuracy(spark):
@@ -165,6 +191,28 @@ def test_synthetic_data(spark):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, synth.dataset(spark, 1200).collect()), key=str)
     assert {r[0] for r in df.select("noise_level").distinct().collect()} == {"clean", "noisy"}
     assert {r[0] for r in df.select("num_type").distinct().collect()} == {"cardinal", "ordinal"}
+    news = synth.real(spark.createDataFrame([(1, "В городе открыли 21 школу"), (2, "Без числа")], "row_id long, t string"), "t", "row_id")
+    assert [(r["task_text"], r["ground_truth"], r["source"]) for r in news.collect()] == [("в городе открыли двадцать один школу", "в городе открыли 21 школу", "news")]
+    assert synth.dataset(spark, 1200, news).filter("source = 'news'").count() <= 1
+
+
+def test_noise_runs_numbers_together_and_fillers_stand_anywhere(spark):
+    from cifra.functions import verbalize
+
+    df = synth.from_templates(spark, 3000).withColumn("words", F.split("ground_truth", " "))
+    places = {next((i for i in range(len(r["words"])) if " ".join(r["words"][i:]).startswith(tuple(synth.FILLERS))), None) for r in df.filter("noise_level = 'clean'").collect()}
+    assert {0, 1, 2} <= places
+    told = spark.range(3000).select(synth.noise(verbalize.number_to_words(F.col("id") + 100_000), F.col("id"), "x").alias("t"), F.size(F.split(verbalize.number_to_words(F.col("id") + 100_000), " ")).alias("n"))
+    joined = told.filter(F.size(F.split("t", " ")) < F.col("n")).count()
+    assert 1000 < joined < 3000
+
+
+def test_clean_rows_come_back_as_their_answers(spark):
+    from cifra.operators import normalize
+
+    df = synth.ordinals(spark, 800).filter("noise_level = 'clean'").withColumn("back", normalize.normalize(F.col("task_text")))
+    wrong = df.filter("back <> ground_truth").select("task_text", "back").distinct().collect()
+    assert df.count() > 100 and wrong == []
 
 
 def test_feeds_and_answers_that_cannot_be_read_have_no_texts(spark):
