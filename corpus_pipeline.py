@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cifra.llm import decontam, mixing, pii, quality_rules, simhash
-from cifra.llm.common import table
+from cifra.llm.common import removed, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go, however short it is beside the rest."""
     return decontam.stage(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -52,11 +51,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the cluster's shared folder and read again."""
+    """All stages over documents; each one's result is written to the cluster's shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last one stays, as the result reads it. Rows without doc_id
+    and rows that repeat one are judged by themselves in every stage, null texts fail the first one, further columns are
+    carried along (those named like an added one are replaced), and an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
