@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cifra.functions import text, verbalize
-from cifra.operators import charlm, fold, metrics, normalize, relational
+from cifra.operators import charlm, fold, metrics, normalize, notebooks, relational
 from cifra.plans import synth
 from cifra.sources import io
 
@@ -100,12 +100,45 @@ def number_to_words(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("n")).distinct().select("n", words(F.col("n")).alias("words"))
 
 
-@query("""
-SELECT o_orderkey, ['тысяч','двадцатое','пять','компьютер','дваста','дветысячи'][o_orderkey % 6 + 1] AS token,
-  ['1000:4:1','20:2:2','5:0:0','','200:3:0','2:0:0 1000:4:1'][o_orderkey % 6 + 1] AS parts FROM orders
-""")
+#: Words and the value, magnitude and kind (0 cardinal, 1 multiplier, 2 ordinal) of what they stand for.
+TOKENS = {
+    "тысяч": "1000:4:1", "двадцатое": "20:2:2", "пять": "5:0:0", "компьютер": "", "дваста": "200:3:0", "дветысячи": "2:0:0 1000:4:1", "ноль": "0:0:0", "одной": "1:0:0", "трёх": "3:0:0", "четверо": "4:0:0", "десятеро": "10:0:0",
+    "десяти": "10:1:0", "четырнадцать": "14:1:0", "девятнадцать": "19:1:0", "двадцать": "20:2:0", "сорока": "40:2:0", "восемьдесят": "80:2:0", "девяноста": "90:2:0", "ста": "100:3:0", "двеси": "200:3:0", "тремстам": "300:3:0",
+    "девятьсот": "900:3:0", "двестипятьсот": "2500:0:0", "тыщи": "1000:4:1", "тысячами": "1000:4:1", "миллионов": "1000000:5:1", "миллиардами": "1000000000:6:1", "первого": "1:0:2", "третьей": "3:0:2", "седьмую": "7:0:2",
+    "двенадцатое": "12:0:2", "тридцатого": "30:0:2", "сотый": "100:0:2", "девятисотый": "900:0:2", "петнадцать": "15:1:0", "милиона": "1000000:5:1", "дисят": "10:1:0", "программа": "", "рублей": "", "я": "",
+}
+#: Phrases and what the current and the sequence mode make of them.
+GOLDEN = (
+    ("двести пятьдесят рублей", "250 рублей", "250 рублей"), ("первого числа", "1 числа", "1 числа"), ("две тысячи двадцать третий", "2023", "2023"), ("дветысячи пятьсот", "2500", "2500"), ("тыща четыреста", "1400", "1400"),
+    ("с чем то тыщ", "с чем то тыщ", "с чем то тыщ"), ("от десяти и выше тыщ", "от 10 и выше тыщ", "от 10 и выше тыщ"), ("двадцати тысячам", "20000", "20000"), ("двести восемьдесят четвёртый", "284", "284"),
+    ("семьдесят миллионов два миллиона", "70000000 2000000", "70000000 2000000"), ("на четырнадцатое число", "на 14 число", "на 14 число"), ("двести два два", "200 2 2", "200 2 2"), ("двеси триста пятьдесят тысяч", "235000", "235000"),
+    ("пять с половиной тыщ", "5 с половиной тыщ", "5 с половиной тыщ"), ("дваста рублей", "200 рублей", "200 рублей"), ("девятьтысяч", "9", "9000"), ("Дветысячи пятьсот", "2000 500", "2500"), ("двадцатое пятое", "20 5", "25"),
+    ("двадцатый пятый", "20 5", "20 5"), ("двести пятнадцать пять", "220", "200 20"), ("двести пять пятый", "200 5 5", "205 5"), ("почти тыщ", "почти 1000", "почти тыщ"), ("половиной тыщ", "половиной тыщ", "половиной 1000"),
+    ("около Тыщ", "около 1000", "около Тыщ"), ("я сто", "я сто", "я 100"), ("три те", "три те", "3 те"), ("сорок птиц", "сорок птиц", "40 птиц"), ("двести сто на", "200 100 на", "200 100 на"), ("пятнадцать пять", "20", "20"),
+    ("двадцать пять пять", "20 5 5", "20 5 5"), ("двадцать ноль", "20", "20"), ("пять тысяч ноль", "5000", "5000"), ("ноль ноль семь", "0 0 7", "0 0 7"), ("один ноль", "1 0", "1 0"), ("ноль двадцать", "0 20", "0 20"),
+    ("ноль тысяч", "1000", "1000"), ("тысяча миллионов", "1001000", "1001000"), ("два миллиона три тысячи четыре миллиона", "6003000", "6003000"), ("тысяча тысяча", "1000 1000", "1000 1000"),
+)
+
+
+def listed(values) -> str:
+    """SQL: the texts as a list."""
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def by_order(values) -> Column:
+    """One of the texts for each order, in turn."""
+    return F.get(F.array(*map(F.lit, values)), (F.col("o_orderkey") % len(values)).cast("int"))
+
+
+@query(f"SELECT o_orderkey, {listed(g[0] for g in GOLDEN)}[o_orderkey % {len(GOLDEN)} + 1] AS said, {listed(g[1] for g in GOLDEN)}[o_orderkey % {len(GOLDEN)} + 1] AS current_mode, {listed(g[2] for g in GOLDEN)}[o_orderkey % {len(GOLDEN)} + 1] AS sequence_mode FROM orders")
+def itn_golden_phrases(spark, sf_dir):
+    said = by_order([g[0] for g in GOLDEN])
+    return spread(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", "said", normalize.normalize(F.col("said"), "current").alias("current_mode"), normalize.normalize(F.col("said"), "sequence").alias("sequence_mode"))
+
+
+@query(f"SELECT o_orderkey, {listed(TOKENS)}[o_orderkey % {len(TOKENS)} + 1] AS token, {listed(TOKENS.values())}[o_orderkey % {len(TOKENS)} + 1] AS parts FROM orders")
 def token_classify(spark, sf_dir):
-    token = F.get(F.array(*map(F.lit, ("тысяч", "двадцатое", "пять", "компьютер", "дваста", "дветысячи"))), (F.col("o_orderkey") % 6).cast("int"))
+    token = by_order(list(TOKENS))
     parts = F.transform(F.get(normalize.classified(F.array(token), True), F.lit(0))["parts"], lambda p: F.concat_ws(":", p["v"], p["m"], p["k"]))
     return spread(spark, sf_dir, "orders").select("o_orderkey", token.alias("token"), F.array_join(parts, " ").alias("parts"))
 
@@ -413,6 +446,20 @@ def filter_or_all(spark, sf_dir):
     return relational.filter_or_all(read(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang") == "de").select("doc_id")
 
 
+@query("""SELECT item_id, CAST(CASE WHEN item_id % 7 = 6 THEN 1 ELSE (item_id % 3 = 0)::INT + (item_id % 5 = 0)::INT END AS BIGINT) AS errors,
+  CAST(CASE WHEN item_id % 7 = 6 THEN 0 ELSE (item_id % 2 = 0)::INT + (item_id % 4 = 1)::INT + (item_id % 11 = 3)::INT END AS BIGINT) AS warnings,
+  CASE WHEN item_id % 7 = 6 THEN false ELSE item_id % 3 <> 0 AND item_id % 5 <> 0 END AS passed FROM benchmark""")
+def notebook_report(spark, sf_dir):
+    n, text = F.col("item_id"), F.col("text")
+    cell = lambda kind, source, bad=None: F.to_json(F.struct(F.lit(kind).alias("cell_type"), source.alias("source"), F.when(F.lit(False) if bad is None else bad, F.array(F.struct(F.lit("error").alias("output_type"), F.lit("E").alias("ename")))).otherwise(F.array().cast("array<struct<output_type:string,ename:string>>")).alias("outputs")))
+    heading = cell("markdown", F.concat(F.when(n % 2 == 0, "## other ").otherwise("## Data "), text))
+    code = cell("code", F.array(F.lit("import numpy\n"), F.concat(F.lit("# "), text), F.when(n % 5 == 0, "\nimport pickle").otherwise("")), n % 3 == 0)
+    after = F.when(n % 4 == 1, cell("code", F.lit("numpy.zeros(1)"))).otherwise(cell("markdown", F.lit("end")))
+    book = F.concat(F.lit('{"nbformat": '), F.when(n % 11 == 3, "3").otherwise("4"), F.lit(', "cells": ['), heading, F.lit(","), code, F.lit(","), after, F.lit("]}"))
+    df = read(spark, sf_dir, "benchmark").select("item_id", F.when(n % 7 == 6, "no json").otherwise(book).alias("nb"))
+    return notebooks.checked(df, "nb", "item_id", sections=["data"], forbidden=["import pickle"], required=["numpy"])
+
+
 @query()
 def synth_templates(spark, sf_dir):
     return synth.dataset(spark, 1900)
