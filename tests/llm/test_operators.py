@@ -155,6 +155,16 @@ def test_url_rules(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_rows_without_url_and_rules_without_token(spark):
+    rows = [(i, None if i % 3 else "no scheme") for i in range(600)] + [(900, "http://a.b/x"), (901, "http://a.b/y9"), (902, "http://a.b/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    odd = (url_filter.Rule("block", regex=r"[0-9]\z"),)  # holds no whole token, so it is tried on every URL
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged(pages, (url_filter.Rule("allow", "a.b", "/x"),), odd).collect()}
+    assert len(got) == 603 and all(got[i] == (None, "allow") for i in range(600)) and got[900] == got[902] == ("a.b/x", "allow") and got[901] == (None, "block")
+    plan = url_filter.judged(pages, odd, ())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # the verdicts are settled, so the join back deals out both sides itself
+
+
 def test_rules_of_a_rare_token_are_found_like_by_trying_all(spark):
     rng = random.Random(3)
     part = lambda: rng.choice(["a", "b", "c1", "d-e", "f"])

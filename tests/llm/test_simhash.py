@@ -93,3 +93,32 @@ def test_one_row_of_each_component_stays_whatever_the_ids(spark):
     assert {(3, a), (5, b), (5, c), (None, d), (7, e)} <= {(i, t) for i, t, _ in got}
     assert sorted(got, key=str) == sorted(map(tuple, simhash.stage(docs.repartition(3)).collect()), key=str)
     assert sorted(map(tuple, simhash.clusters(docs).collect()), key=str) == brute_components(rows)
+
+
+def dealt_by_itself(plan: str, join: str) -> bool:
+    """Whether both sides of each such join in the plan come straight from an exchange, so that a skewed key is split."""
+    lines = [line.lstrip(" :+-*0123456789()") for line in plan.split("\n")]
+    at = [i for i, line in enumerate(lines) if line.startswith(join)]
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan.split("\n")]
+    below = lambda i: [k for k in range(i + 1, len(lines)) if depth[k] == depth[i] + 3 and all(depth[m] > depth[i] for m in range(i + 1, k))]
+    through = lambda k: through(k + 1) if lines[k].startswith("Sort") else lines[k]
+    return bool(at) and all(through(k).startswith("Exchange hashpartitioning") and "ENSURE_REQUIREMENTS" in through(k) for i in at for k in below(i))
+
+
+def test_a_star_is_one_component_and_its_joins_can_be_split(spark, monkeypatch):
+    edges = spark.createDataFrame([(i + 1, 0) for i in range(3000)] + [(i + 5000, i + 1) for i in range(50)], "a long, b long")
+    plans, settle = [], simhash.settled
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(simhash, "settled", noted)
+        got = simhash.components(edges).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 3050 and {r["root"] for r in got} == {0}
+    joins = [p.split("== Initial Plan ==")[-1] for p in plans if "SortMergeJoin" in p]
+    assert len(joins) >= 2 and all(dealt_by_itself(p, "SortMergeJoin") for p in joins[::2])
