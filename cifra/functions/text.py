@@ -46,13 +46,19 @@ def count_numbers(c: Column) -> Column:
 
 
 def mended(c: Column) -> Column:
-    """The rewriting before tokens are read. The shifted two hundreds run only where their first word occurs."""
-    shifted = c
+    """The rewriting before tokens are read. Each kind runs only where one of its words occurs."""
+    return let(F.when(F.contains(c, F.lit("двеси")), _shifted(c)).otherwise(c), lambda x: F.when(F.regexp_like(x, F.lit("|".join(MENDED))), _respelled(x)).otherwise(x))
+
+
+def _shifted(c: Column) -> Column:
     for hundred, ten in HUNDRED_TO_TEN.items():
         for second, unit in [*TEN_TO_UNIT.items(), (None, None)]:
             middle = f"(?U:\\s+){second}" if second else ""
-            shifted = F.regexp_replace(shifted, f"(?U)\\bдвеси\\s+{hundred}{middle}\\s+тысяч[аи]?\\b", " ".join(filter(None, ("двести", ten, unit, "тысяч"))))
-    c = F.when(F.contains(c, F.lit("двеси")), shifted).otherwise(c)
+            c = F.regexp_replace(c, f"(?U)\\bдвеси\\s+{hundred}{middle}\\s+тысяч[аи]?\\b", " ".join(filter(None, ("двести", ten, unit, "тысяч"))))
+    return c
+
+
+def _respelled(c: Column) -> Column:
     for wrong, right in MENDED.items():
         c = F.regexp_replace(c, f"(?U)\\b{wrong}\\b", right)
     return c
