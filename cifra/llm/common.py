@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 #: Bytes of a text's SHA-256 by which a copy is told.
 DIGEST = 16
+#: Rows of a few numbers that are sent to every task: some 10 MB.
+SENT_ROWS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """df settled, to be joined with a large table: sent to every task if it has at most so many rows, so that the large
+    table stays where it is; dealt out like any other if it has more."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, spark.checkpoint.dir. Where none is set, one is made if all runs in one process
     (as in tests); on a cluster a folder of the driver's machine would lose what executors write, so that is an error."""

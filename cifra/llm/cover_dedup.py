@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import MESSAGE, Grouped, are_copies, bucket_rows, copies_of, packed, text_bytes, unpacked
+from cifra.llm.common import MESSAGE, Grouped, are_copies, bucket_rows, copies_of, packed, unpacked
 
 WINDOW = 50
 PERIOD = 31

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import fresh, packed, row_hash, settled, short_batches, text_bytes, unpacked
+from cifra.llm.common import fresh, packed, row_hash, sent_if_small, settled, short_batches, text_bytes, unpacked
 
 WINDOW = 13
 #: Words on either side of the anchor in which a proximity match has all other terms.
@@ -282,4 +282,4 @@ def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     row, (name,) = row_hash(["doc_id", "text"]), fresh(docs, "_row")
     bad = contamination(docs.select(row.alias("doc_id"), "text"), items).filter("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, row == F.col(name), "left_anti").select(*docs.columns)
+    return docs.join(sent_if_small(bad), row == F.col(name), "left_anti").select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cifra.llm.common import fresh, row_hash, settled, short_batches, text_bytes
+from cifra.llm.common import fresh, row_hash, sent_if_small, settled, short_batches, text_bytes
 
 SHINGLE = 4
 SEED = 42
@@ -233,7 +233,7 @@ def stage(docs: DataFrame) -> DataFrame:
     firsts = settled(found.groupBy("component").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first < last").select("component", "first"))
     gone = found.join(firsts, "component").filter(key > F.col("first")).select(F.col("doc_id").alias(same_id), F.col("row").alias(same_row)).distinct()
     same = (F.col(same_row) == row) & F.col(same_id).eqNullSafe(F.col("doc_id").cast("long"))
-    left = docs.join(gone, same, "left_anti")
+    left = docs.join(sent_if_small(gone), same, "left_anti")
     alike = settled(found.groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias(same_id), F.col("row").alias(same_row)))
     if not alike.isEmpty():
         left = left.join(alike, same, "left_anti").unionByName(left.join(alike, same, "left_semi").dropDuplicates(docs.columns))
