@@ -73,6 +73,13 @@ def test_feather_is_read_by_batches_and_written_back(spark, phrases, tmp_path):
     assert {r[0] for r in spark.read.json(f"{tmp_path}/levels").collect()} == {"clean", "noisy"}
 
 
+def test_only_tables_of_few_partitions_are_spread(spark):
+    slots = spark.sparkContext.defaultParallelism
+    assert io.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == slots
+    many = spark.range(0, 100, 1, slots + 3)
+    assert io.spread(many) is many and io.spread(many.limit(0)).count() == 0
+
+
 def test_command_line(spark, phrases, capsys):
     cli.main(["run", phrases])
     answers = feather.read_table(phrases.removesuffix(".f") + "_answer.f").to_pandas()
