@@ -109,10 +109,13 @@ def first_number_pairs(df: DataFrame, column: str, n: int = 2) -> DataFrame:
     return rows.withColumn("task_text", F.concat(F.substr(F.col(column), F.lit(1), at - 1), words, F.substr(F.col(column), at + F.char_length("number"))))
 
 
-def spoken_pairs(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    """task_text and ground_truth from the lower-cased, space-collapsed text and its first number; equal pairs once."""
+def spoken_pairs(df: DataFrame, column: str, row_id: str, most_digits: int = 6) -> DataFrame:
+    """task_text and ground_truth from the lower-cased, space-collapsed text and its first number of up to most_digits
+    digits (one that has no words stays in digits); equal pairs once."""
     truth = text.collapsed(F.lower(F.col(column)))
-    found = df.select(F.col(row_id), truth.alias("ground_truth")).withColumn("number", F.regexp_extract("ground_truth", "(?U)\\b(\\d{1,6})\\b", 1)).filter("number <> ''")
-    parts = F.regexp_extract("ground_truth", "(?sU)^(.*?)\\b\\d{1,6}\\b(.*)$", 1), F.regexp_extract("ground_truth", "(?sU)^(.*?)\\b\\d{1,6}\\b(.*)$", 2)
-    made = found.withColumn("task_text", F.concat(parts[0], verbalize.number_to_words(F.col("number").cast("long"), few_millions=False), parts[1]))
+    number = f"\\b(\\d{{1,{most_digits}}})\\b"
+    found = df.select(F.col(row_id), truth.alias("ground_truth")).withColumn("number", F.regexp_extract("ground_truth", f"(?U){number}", 1)).filter("number <> ''")
+    parts = [F.regexp_extract("ground_truth", f"(?sU)^(.*?){number}(.*)$", i) for i in (1, 3)]
+    words = F.coalesce(verbalize.number_to_words(F.expr("try_cast(number AS BIGINT)"), few_millions=False), F.col("number"))
+    made = found.withColumn("task_text", F.concat(parts[0], words, parts[1]))
     return keep_first(made, digest_key(F.col("task_text"), F.col("ground_truth")), row_id).select(row_id, "task_text", "ground_truth")

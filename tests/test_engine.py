@@ -214,7 +214,7 @@ ODD_KEYS = [0, 1, 9, 10, 19, 20, 21, 40, 99, 100, 101, 110, 999, 1000, 1001, 200
 LARGE_KEYS = [1_000_000, 1_000_001, 1_012_345, 1_100_000, 2_000_000, 8_999_999, 9_000_010, 10_000_000, 12_345_678, 100_000_000, 540_000_017, 999_999_999]
 
 
-@pytest.mark.parametrize(("name", "keys"), [("numeral_words", LARGE_KEYS)])
+@pytest.mark.parametrize(("name", "keys"), [("numeral_words", LARGE_KEYS), ("spoken_pairs", [*LARGE_KEYS, 10**9, 10**12 + 5, 2**63 - 1])])
 def test_large_keys_say_what_the_sql_says(spark, duck, tmp_path, name, keys):
     rows = [(k, k % 1013) for k in ODD_KEYS + keys]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
