@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +16,16 @@ HUNDREDS = ["", "сто", "двести", "триста", "четыреста",
 FIRST_ORDINALS = ["первый", "второй", "третий", "четвертый", "пятый", "шестой", "седьмой", "восьмой", "девятый", "десятый", "одиннадцатый", "двенадцатый", "тринадцатый", "четырнадцатый", "пятнадцатый", "шестнадцатый", "семнадцатый", "восемнадцатый", "девятнадцатый"]
 
 
-def _pick(words: list[str], i: Column) -> Column:
-    return F.nullif(F.get(F.array(*map(F.lit, words)), i.cast("int")), F.lit(""))
+@functools.cache
+def _table(feminine: bool) -> str:
+    """The words of 0 (none) to 999, a line each."""
+    below = lambda n: [TEENS[n - 10]] if 10 <= n <= 19 else [TENS[n // 10], (FEMININE if feminine else ONES)[n % 10]]
+    return "\n".join(" ".join(filter(None, [HUNDREDS[n // 100], *below(n % 100)])) for n in range(1000))
 
 
-def _below_thousand(n: Column, ones: list[str]) -> list[Column]:
-    rest = n % 100
-    teen = rest.between(10, 19)
-    return [_pick(HUNDREDS, F.floor(n / 100)), F.when(teen, _pick(TEENS, rest - 10)).otherwise(_pick(TENS, F.floor(rest / 10))), F.when(~teen, _pick(ones, rest % 10))]
+def _below_thousand(n: Column, feminine: bool = False) -> Column:
+    """Looked up whole in a constant: word by word the code gets too long to be compiled."""
+    return F.when(n > 0, F.get(F.split(F.lit(_table(feminine)), "\n"), n.cast("int")))
 
 
 def _counted(n: Column, one: str, few: str, many: str) -> Column:
@@ -33,7 +37,7 @@ def number_to_words(n: Column, few_millions: bool = True) -> Column:
     """Words of 0 <= n < 10**9, null beyond. few_millions: after 2 to 4 the genitive singular, else always the plural."""
     n = n.cast("long")
     millions, thousands, rest = F.floor(n / 1_000_000), F.floor(n / 1000) % 1000, n % 1000
-    words = [*_below_thousand(millions, ONES), _counted(millions, "миллион", "миллиона" if few_millions else "миллионов", "миллионов"), *_below_thousand(thousands, FEMININE), _counted(thousands, "тысяча", "тысячи", "тысяч"), *_below_thousand(rest, ONES)]
+    words = [_below_thousand(millions), _counted(millions, "миллион", "миллиона" if few_millions else "миллионов", "миллионов"), _below_thousand(thousands, True), _counted(thousands, "тысяча", "тысячи", "тысяч"), _below_thousand(rest)]
     return F.when(n == 0, "ноль").when(n.between(1, 999_999_999), F.concat_ws(" ", *words))
 
 
@@ -41,7 +45,7 @@ def spoken_words(n: Column) -> Column:
     """The variant that counts thousands in the masculine and leaves a million and more in digits."""
     n = n.cast("long")
     thousands = F.floor(n / 1000)
-    words = [*_below_thousand(thousands, ONES), _counted(thousands, "тысяча", "тысячи", "тысяч"), *_below_thousand(n % 1000, ONES)]
+    words = [_below_thousand(thousands), _counted(thousands, "тысяча", "тысячи", "тысяч"), _below_thousand(n % 1000)]
     return F.when(n == 0, "ноль").when(n.between(1, 999_999), F.concat_ws(" ", *words)).otherwise(n.cast("string"))
 
 

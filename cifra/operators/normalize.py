@@ -1,4 +1,4 @@
-"""Classification of tokens and the two normalizers, as expressions: no join, no shuffle, so streams can use them too."""
+"""Classification of tokens and the two normalizers: no join, no shuffle, so streams can use them too."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cifra.functions import lexicon, text
 from cifra.operators.fold import rewritten
+from cifra.operators.rewriting import rewritten_text
 
 MODES = ("current", "sequence")
 # Words before a vague thousand.
@@ -71,7 +72,15 @@ def _classified(tokens: Column, sequence: bool) -> Column:
 
 
 def normalize(c: Column, mode: str = "current") -> Column:
-    """The text with spoken numbers as digits; null and blank texts stay as they are."""
+    """The text with spoken numbers as digits; null and blank texts stay as they are. A Python function over batches."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    sequence = mode == "sequence"
+    return rewritten_text(c, sequence, *map(tuple, (HUNDRED_VERB, HUNDRED_NUMBER, FORTY_BIRD, THREE_VERB, VAGUE_SEQUENCE if sequence else VAGUE_CURRENT)))
+
+
+def as_expression(c: Column, mode: str = "current") -> Column:
+    """The same without Python, for use within lambdas; far slower for each text."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     sequence = mode == "sequence"

@@ -64,3 +64,42 @@ def test_confidence_and_hybrid(spark):
     assert [(r["t"], r["got"]) for r in got] == [(r[0], r[2]) for r in rows]
     df = spark.createDataFrame([("пять тыщ", "иначе"), ("пять", "иначе"), ("пять тыщ", None)], "t string, f string")
     assert [r[0] for r in df.select(normalize.hybrid(F.col("t"), F.col("f"))).collect()] == ["иначе", "5", "5000"]
+
+
+def phrases() -> list[str]:
+    """Number words, contexts and odd separators in seeded disorder."""
+    import random
+
+    r = random.Random(7)
+    said = [w for line in lexicon.CARDINALS.strip().splitlines() for w in line.split()[2:]]
+    contexts = "с чем то где половиной около выше почти тыщ тыща Тыщ я сто на у перед и рубл до более сорок птиц три ся те двеси триста пятьсот пятьдесят тысяч пятдесят тристо дветысячи девятьтысяч стотысячами слово 25".split()
+    gaps = [" ", "  ", " ", "\u001c", "\n", "-", "́ ", "‍", "_ ", "² ", " ²", "ͅ "]
+    texts = ["".join(r.choice(r.choice((said, contexts, lexicon.words()))) + (r.choice(gaps) if r.random() < 0.3 else " ") for _ in range(r.randint(1, 8))) for _ in range(3000)]
+    return [t.upper() if i % 29 == 0 else t.title() if i % 31 == 0 else t.strip() if i % 2 else t for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("mode", normalize.MODES)
+def test_the_pass_over_tokens_says_what_the_expression_says_and_sooner(spark, mode):
+    import time
+
+    rows = [(t,) for t in [*phrases(), *(a for a, *_ in BOTH + APART), "\u001f  ", "двеси\u001cтриста тысяч", "x" * 100_000 + " пять"]]
+    df = spark.createDataFrame(rows, "t string").repartition(4).persist()
+    fast, slow = normalize.normalize(F.col("t"), mode), normalize.as_expression(F.col("t"), mode)
+    assert df.count() == len(rows) and df.filter(~fast.eqNullSafe(slow)).count() == 0
+    took = []
+    for c in (fast, slow):
+        began = time.time()
+        df.crossJoin(spark.range(6)).select(c).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    df.unpersist()
+    assert took[0] < took[1]
+
+
+def test_bytes_that_are_no_text_do_not_end_the_run(spark):
+    bad = spark.createDataFrame([(bytearray(b"\xff ") + bytearray("пять".encode()),)], "b binary").select(normalize.normalize(F.col("b").cast("string")).alias("a"))
+    assert bad.first()["a"] == "� 5"
+
+
+def test_words_are_looked_up_whole(spark):
+    n = spark.range(0, 1_000_000, 37).select(F.col("id").alias("n"), verbalize.number_to_words(F.col("id")).alias("w"))
+    assert n.filter(normalize.as_expression(F.col("w"), "sequence") != F.col("n").cast("string")).count() == 0
