@@ -103,3 +103,42 @@ def test_bytes_that_are_no_text_do_not_end_the_run(spark):
 def test_words_are_looked_up_whole(spark):
     n = spark.range(0, 1_000_000, 37).select(F.col("id").alias("n"), verbalize.number_to_words(F.col("id")).alias("w"))
     assert n.filter(normalize.as_expression(F.col("w"), "sequence") != F.col("n").cast("string")).count() == 0
+
+
+def reader(mode: str):
+    """The pass over a batch as a plain function, made anew."""
+    from cifra.operators import rewriting
+
+    vague = normalize.VAGUE_SEQUENCE if mode == "sequence" else normalize.VAGUE_CURRENT
+    return rewriting.rewriter.__wrapped__(mode == "sequence", *map(tuple, (normalize.HUNDRED_VERB, normalize.HUNDRED_NUMBER, normalize.FORTY_BIRD, normalize.THREE_VERB, vague))).func
+
+
+def test_a_text_is_read_once_in_a_batch(spark):
+    import pandas as pd
+
+    class Said(bytes):
+        read = 0
+
+        def decode(self, *a):
+            Said.read += 1
+            return super().decode(*a)
+
+    got = reader("current")(pd.Series([*(Said("сто пять".encode()) for _ in range(500)), None, Said("два".encode())], dtype=object))
+    assert got.tolist() == ["105"] * 500 + [None, "2"] and Said.read == 2
+
+
+def test_long_patterns_are_read_only_where_they_may_match(spark, monkeypatch):
+    import re
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from cifra.operators import rewriting
+
+    lengths = []
+    noted = lambda f: lambda p, *a: lengths.append(len(p)) or f(p, *a)
+    monkeypatch.setattr(rewriting, "re", SimpleNamespace(compile=noted(re.compile), search=noted(re.search), sub=re.sub, Pattern=re.Pattern))
+    read = reader("current")
+    said = lambda t: read(pd.Series([t.encode()], dtype=object))[0]
+    assert said("двеси сто сорок три рубля") == "200 143 рубля" and max(lengths) < 1000
+    assert said("я сто") == "я сто" and max(lengths) > 1000
