@@ -96,7 +96,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 #: Rows of a partition that evened() makes.
-EVEN_ROWS = 250_000
+EVEN_ROWS = 500_000
 
 
 def evened(df: DataFrame) -> DataFrame:
