@@ -95,22 +95,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-#: Rows of a partition that evened() makes.
-EVEN_ROWS = 500_000
+#: Rows of a partition that evened() makes, and how many partitions it makes at most.
+EVEN_ROWS, MOST_PARTS = 300_000, 10_000
 
 
 def evened(df: DataFrame) -> DataFrame:
     """spread(), also of a file that is cut into enough parts but read by few of them: a row group goes whole to the part
     that holds its middle, so one group of all rows leaves every other part empty. Where a part has over twice the mean,
-    all rows are dealt out, to partitions of a bounded size. The count reads no columns of a table of files."""
+    or more rows than a task should compute, all rows are dealt out, so that tasks don't grow with the table. The count
+    reads no columns of a table of files."""
     out = spread(df)
     if out is not df or not df.inputFiles():
         return out
     parts, rows = df.rdd.getNumPartitions(), [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
-    if max(rows, default=0) * parts <= 2 * sum(rows):
+    # As many as fill all slots each time.
+    slots, most = df.sparkSession.sparkContext.defaultParallelism, max(rows, default=0)
+    wanted = max(parts, min(slots * -(-sum(rows) // (EVEN_ROWS * slots)), MOST_PARTS))
+    if most * parts <= 2 * sum(rows) and (most <= EVEN_ROWS or wanted == parts):
         return df
     # By a row's place in its part, which a repeated task finds again: dealing rows out in turn would sort each part first.
-    return df.repartition(max(parts, -(-sum(rows) // EVEN_ROWS)), F.monotonically_increasing_id())
+    return df.repartition(wanted, F.monotonically_increasing_id())
 
 
 def write_json_array(df: DataFrame, column: str, path: str) -> None:

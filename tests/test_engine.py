@@ -104,6 +104,29 @@ def test_a_table_of_one_row_group_is_computed_by_all_slots(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
 
 
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    # Row groups lie evenly over the parts, each with more rows than a task should compute.
+    monkeypatch.setattr(io, "EVEN_ROWS", 1_000)
+    slots, kept = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        for n in (20_000, 80_000):
+            (tmp_path / str(n)).mkdir()
+            rows = pa.table({"o_orderkey": pa.array(range(n), pa.int64()), "o_orderstatus": [f"{i * 2_654_435_761:020}" for i in range(n)]})
+            pq.write_table(rows, f"{tmp_path}/{n}/orders.parquet", row_group_size=3_000, compression="none", use_dictionary=False)
+            table = queries.read(spark, f"{tmp_path}/{n}", "orders")
+            held = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+            assert io.spread(table) is table and 1_000 < max(held) <= 2 * n / table.rdd.getNumPartitions()
+            for name in ("itn_context_phrase", "predictions"):
+                frame = getattr(queries, name)(spark, f"{tmp_path}/{n}")
+                dealt = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+                assert sum(dealt) == n and max(dealt) < 1_200 and len(dealt) % slots == 0
+        monkeypatch.setattr(io, "MOST_PARTS", table.rdd.getNumPartitions())
+        assert io.evened(table) is table
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_command_line(spark, phrases, capsys):
     cli.main(["run", phrases])
     answers = feather.read_table(phrases.removesuffix(".f") + "_answer.f").to_pandas()
